@@ -12,9 +12,10 @@ Texts that share a band of registers are candidates, and candidates are linked w
 their exact J_P reaches the threshold; classes are the components of the links.
 
 How candidates are compared without emitting all pairs of a bucket: texts with equal
-shingles are one node; every bucket's nodes are compared with one centre; once the
-components of those links are known, only buckets that still hold several components
-are compared fully, in blocks of bounded size, and a block emits no more links than
+shingles are one node; every bucket's nodes are compared with one centre; then, in
+buckets that still hold several components of the links found, with the member that has the most
+links, for some rounds; last, in the few buckets still open, members outside the largest
+component with all others, in blocks of bounded size. A block emits no more links than
 join its members (pairs already in one component are passed over).
 
 Defined results: a null text is a class of its own; equal texts (also empty ones or those
@@ -39,8 +40,8 @@ from .shared import components, stash
 SHINGLE, THRESHOLD = 5, 0.8
 #: 20 bands of 4 registers: a pair at 0.8 is missed with probability (1 - 0.8 ** 4) ** 20 < 3e-5.
 BANDS, ROWS = 20, 4
-#: Nodes in one block of a bucket that is compared fully.
-UNIT = 64
+#: Rounds with other centres; nodes in one block of a bucket that is compared fully.
+HUBS, UNIT = 3, 64
 INF = np.inf
 
 
@@ -141,7 +142,7 @@ def verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Itera
 
 
 def within(group: pa.Table, k: int, threshold: float) -> pa.Table:
-    """Links that join the members of one block (or two blocks); members known to be joined aren't compared."""
+    """Links that join members of block 0 to those of block 1; members known to be joined aren't compared."""
     group = group.combine_chunks()
     n = group.num_rows
     names = group.column("node").to_pylist()
@@ -157,10 +158,9 @@ def within(group: pa.Table, k: int, threshold: float) -> pa.Table:
     text = group.column("text").combine_chunks() if isinstance(group.column("text"), pa.ChunkedArray) else group.column("text")
     ids, at, weight = described(text, k)
     offs = np.searchsorted(at, np.arange(n + 1))
-    crossing = len(set(block)) > 1
     links = []
-    for i in range(n - 1):
-        js = [j for j in range(i + 1, n) if (not crossing or block[i] != block[j]) and find(label[i]) != find(label[j])]
+    for i in (i for i in range(n) if not block[i]):
+        js = [j for j in range(n) if block[j] and find(label[i]) != find(label[j])]
         for c in range(0, len(js), 16):
             few = [j for j in js[c : c + 16] if find(label[i]) != find(label[j])]
             if not few:
@@ -201,18 +201,43 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     links = stash(faced.mapInArrow(lambda it: verify(it, k, threshold), "node binary, centre binary"))
     comps = components(links, "node", "centre")
 
-    tagged = shared.where("n > 2").join(comps, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-    tagged = tagged.join(tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("set"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("lo != hi").groupBy("set", "sum").agg(F.min("band").alias("band")).select("band"), "band")
-    blocks = F.ceil(F.col("n") / F.lit(unit)).cast("int")
-    spread = (
-        tagged.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select("band", "node", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-        .select("band", "node", "label", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    def open_buckets() -> DataFrame:
+        """Members of the buckets that hold several components, one bucket of those with the same members: band, node, n, label."""
+        tagged = shared.where("n > 2").join(comps, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
+        split = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("set"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("lo != hi")
+        return stash(tagged.join(split.groupBy("set", "sum").agg(F.min("band").alias("band")).select("band"), "band"))
+
+    def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+        """Components with more links: only their labels are contracted."""
+        ends = [more.select(F.col(c).alias("node")) for c in ("node", "centre")]
+        known = stash(comps.unionByName(ends[0].unionByName(ends[1]).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("label"))))
+        a, b = known.select("node", F.col("label").alias("a")), known.select(F.col("node").alias("centre"), F.col("label").alias("b"))
+        met = components(more.join(a, "node").join(b, "centre"), "a", "b").select(F.col("node").alias("label"), F.col("label").alias("to"))
+        return stash(known.join(met, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+    for _ in range(HUBS):
+        # Centres with the most links so far: what many are near copies of comes first.
+        held = open_buckets()
+        degree = links.select("node").unionByName(links.select(F.col("centre").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+        hub = held.join(degree, "node", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", F.col("label").alias("own"))).alias("hub"))
+        more = held.join(hub, "band").where("label != hub.own").select("node", F.col("hub.node").alias("centre")).distinct().join(links, ["node", "centre"], "left_anti")
+        more = more.join(texts, "node").join(texts.select(F.col("node").alias("centre"), F.col("text").alias("other")), "centre").select("node", "centre", "text", "other")
+        more = stash(more.mapInArrow(lambda it: verify(it, k, threshold), "node binary, centre binary"))
+        if more.isEmpty():
+            break
+        links, comps = links.unionByName(more), joined(comps, more)
+
+    # What is left: members outside a bucket's largest component are compared with all of other components, block by block.
+    held = open_buckets()
+    largest = held.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"))
+    sized = held.join(largest, "band").withColumns({"minor": F.col("label") != F.col("top.label"), "rows": F.ceil((F.col("n") - F.col("top.c")) / F.lit(unit)).cast("int"), "columns": F.ceil(F.col("n") / F.lit(unit)).cast("int")})
+    at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    sides = sized.where("minor").select("band", "node", "label", F.lit(0).alias("block"), at("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j")).unionByName(
+        sized.select("band", "node", "label", F.lit(1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), at("columns").alias("j"))
     )
-    more = spread.join(texts, "node").groupBy("band", "i", "j").applyInArrow(lambda t: within(t, k, threshold), "node binary, centre binary")
-    more = stash(more.distinct())
+    more = stash(sides.join(texts, "node").groupBy("band", "i", "j").applyInArrow(lambda t: within(t, k, threshold), "node binary, centre binary").distinct())
     if not more.isEmpty():
-        comps = components(links.unionByName(more), "node", "centre")
+        comps = joined(comps, more)
 
     classed = signed.select("doc_id", "xx", "node").join(comps, "node", "left").select("doc_id", "xx", F.coalesce("label", "node").alias("label"))
     least = classed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
