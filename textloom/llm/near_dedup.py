@@ -40,8 +40,8 @@ from .shared import components, stash
 SHINGLE, THRESHOLD = 5, 0.8
 #: 20 bands of 4 registers: a pair at 0.8 is missed with probability (1 - 0.8 ** 4) ** 20 < 3e-5.
 BANDS, ROWS = 20, 4
-#: Rounds with other centres; nodes in one block of a bucket that is compared fully.
-HUBS, UNIT = 3, 64
+#: Rounds with other centres; nodes and shingles in one block of a bucket that is compared fully; columns of a matrix at a time.
+HUBS, UNIT, UNIT_SHINGLES, COLUMNS = 1, 256, 1_000_000, 2048
 INF = np.inf
 
 
@@ -79,7 +79,7 @@ def described(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, xx, text) to (doc_id, xx, node, bands). node: 16 bytes, equal for equal shingle counts; null for null texts."""
+    """(doc_id, xx, text) to (doc_id, xx, node, size in shingles, bands). node: 16 bytes, equal for equal shingle counts; null for null texts."""
     for batch in batches:
         for part in W.slices(batch):
             text = part.column("text")
@@ -103,7 +103,7 @@ def sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> It
             node = [None if not v.is_valid else flat[i * 16 : i * 16 + 16] if some[i] else hashlib.md5(b"no word\0" + v.as_py().encode()).digest() for i, v in enumerate(text)]
             held = keys[some].view(np.int64).reshape(-1)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("xx"), pa.array(node, pa.binary()), pa.ListArray.from_arrays(np.r_[0, np.cumsum(some * bands)].astype(np.int32), pa.array(held, pa.int64()))], names=["doc_id", "xx", "node", "bands"]
+                [part.column("doc_id"), part.column("xx"), pa.array(node, pa.binary()), pa.array(np.bincount(at, minlength=n), pa.int64()), pa.ListArray.from_arrays(np.r_[0, np.cumsum(some * bands)].astype(np.int32), pa.array(held, pa.int64()))], names=["doc_id", "xx", "node", "size", "bands"]
             )
 
 
@@ -141,45 +141,79 @@ def verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Itera
             yield part.select(["node", "centre"]).filter(pa.array(sim >= threshold - 1e-9))
 
 
+def shared_weights(ids: np.ndarray, at: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of a left and a right text, the weight that the left one has in shared shingles, and the right one."""
+    n = int(max(left.max(initial=-1), right.max(initial=-1))) + 1
+    _, local, count = np.unique(ids, return_inverse=True, return_counts=True)
+    some = count[local] > 1  # a shingle of one text alone is shared with none
+    order = np.argsort(local[some], kind="stable")
+    local, at, weight = np.unique(local[some], return_inverse=True)[1][order], at[some][order], weight[some][order]
+    ours, theirs = np.zeros((2, len(left), len(right)), np.float32)
+    cuts = np.searchsorted(local, np.arange(0, (local[-1] if len(local) else -1) + 1 + COLUMNS, COLUMNS))
+    for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[at[i:j], local[i:j] - c * COLUMNS] = weight[i:j]
+        some = (held > 0).astype(np.float32)
+        ours += held[left] @ some[right].T
+        theirs += some[left] @ held[right].T
+    return ours, theirs
+
+
 def within(group: pa.Table, k: int, threshold: float) -> pa.Table:
-    """Links that join members of block 0 to those of block 1; members known to be joined aren't compared."""
+    """Links that join members of block 0 to those of block 1, none between members that are joined already.
+
+    Shared weights of all pairs come from matrix products. They give J_P itself where all weights are 1, else a bound
+    (no pair exceeds the part of either text's weight that is shared), and pairs that reach it are computed one by one.
+    """
     group = group.combine_chunks()
+    names, label, block = (group.column(c).to_pylist() for c in ("node", "label", "block"))
+    ids, at, weight = described(group.column("text").combine_chunks(), k)
     n = group.num_rows
-    names = group.column("node").to_pylist()
-    root = {x: x for x in [*group.column("label").to_pylist()]}
-    label, block = group.column("label").to_pylist(), group.column("block").to_pylist()
-
-    def find(x: bytes) -> bytes:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    text = group.column("text").combine_chunks() if isinstance(group.column("text"), pa.ChunkedArray) else group.column("text")
-    ids, at, weight = described(text, k)
     offs = np.searchsorted(at, np.arange(n + 1))
+    total = np.bincount(at, weights=weight, minlength=n)
+    plain = np.bincount(at, weights=weight != 1, minlength=n) == 0
+    side = np.array(block)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    ours, theirs = shared_weights(ids, at, weight, left, right)
+    x, y = total[left][:, None], total[right][None, :]
+    exact = plain[left][:, None] & plain[right][None, :]
+    number = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
+    apart = number[left][:, None] != number[right][None, :]
+    low = threshold - 1e-6
+    sure = apart & exact & (ours / np.maximum(x + y - ours, 1e-9) >= low)
+    maybe = apart & ~exact & (np.minimum(ours / np.maximum(x, 1e-9), theirs / np.maximum(y, 1e-9)) >= low)
+    root = list(range(int(number.max(initial=-1)) + 1))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     links = []
-    for i in (i for i in range(n) if not block[i]):
-        js = [j for j in range(n) if block[j] and find(label[i]) != find(label[j])]
-        for c in range(0, len(js), 16):
-            few = [j for j in js[c : c + 16] if find(label[i]) != find(label[j])]
-            if not few:
-                continue
-            me = slice(offs[i], offs[i + 1])
-            size = offs[i + 1] - offs[i]
-            them = [slice(offs[j], offs[j + 1]) for j in few]
-            each = [s.stop - s.start for s in them]
-            sim = similarities(
-                np.r_[np.repeat(np.arange(len(few)), size), np.repeat(np.arange(len(few)), each)],
-                np.concatenate([np.tile(ids[me], len(few)), *(ids[s] for s in them)]),
-                np.r_[np.tile(weight[me], len(few)), np.zeros(sum(each))],
-                np.concatenate([np.zeros(size * len(few)), *(weight[s] for s in them)]),
-                len(few),
-            )
-            for j, s in zip(few, sim, strict=True):
-                if s >= threshold - 1e-9 and find(label[i]) != find(label[j]):
-                    root[find(label[i])] = find(label[j])
-                    links.append((names[i], names[j]))
+
+    def link(i: int, j: int) -> None:
+        a, b = find(number[i]), find(number[j])
+        if a != b:
+            root[a] = b
+            links.append((names[i], names[j]))
+
+    for i, j in zip(*np.nonzero(sure), strict=True):
+        link(left[i], right[j])
+    open_pairs = [(left[i], right[j]) for i, j in zip(*np.nonzero(maybe), strict=True)]
+    for c in range(0, len(open_pairs), 64):
+        few = [(i, j) for i, j in open_pairs[c : c + 64] if find(number[i]) != find(number[j])]
+        if not few:
+            continue
+        a, b = [slice(offs[i], offs[i + 1]) for i, _ in few], [slice(offs[j], offs[j + 1]) for _, j in few]
+        n_a, n_b = [s.stop - s.start for s in a], [s.stop - s.start for s in b]
+        pair = np.r_[np.repeat(np.arange(len(few)), n_a), np.repeat(np.arange(len(few)), n_b)]
+        own = np.concatenate([ids[s] for s in (*a, *b)])
+        w_a, w_b = np.concatenate([weight[s] for s in a]), np.concatenate([weight[s] for s in b])
+        sim = similarities(pair, own, np.r_[w_a, np.zeros(len(w_b))], np.r_[np.zeros(len(w_a)), w_b], len(few))
+        for (i, j), s in zip(few, sim, strict=True):
+            if s >= threshold - 1e-9:
+                link(i, j)
     return pa.table({"node": pa.array([a for a, _ in links], pa.binary()), "centre": pa.array([b for _, b in links], pa.binary())})
 
 
@@ -187,11 +221,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     """One row per row of ``docs`` (doc_id, text): doc_id, xx (xxhash64 of the text), label (16 bytes, the class), class_id."""
     own = docs.select("doc_id", F.xxhash64("text").alias("xx"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stash(own.mapInArrow(lambda it: sign(it, k, bands, rows), f"doc_id {kind}, xx bigint, node binary, bands array<bigint>"))
-    nodes = signed.where("node is not null and size(bands) > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "xx", "bands"), F.struct("doc_id", "xx")).alias("r")).select("node", "r.*")
+    signed = stash(own.mapInArrow(lambda it: sign(it, k, bands, rows), f"doc_id {kind}, xx bigint, node binary, size bigint, bands array<bigint>"))
+    nodes = signed.where("node is not null and size(bands) > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "xx", "size", "bands"), F.struct("doc_id", "xx")).alias("r")).select("node", "r.*")
     nodes = stash(nodes)
-    placed = nodes.select("node", F.explode("bands").alias("band"))
-    centres = placed.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    placed = nodes.select("node", "size", F.explode("bands").alias("band"))
+    centres = placed.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n"), F.sum("size").alias("sizes")).where("n > 1")
     shared = stash(placed.join(centres, "band"))
     pairs = shared.where("node != centre").select("node", "centre").distinct()
 
@@ -203,7 +237,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
 
     def open_buckets() -> DataFrame:
         """Members of the buckets that hold several components, one bucket of those with the same members: band, node, n, label."""
-        tagged = shared.where("n > 2").join(comps, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
+        tagged = shared.where("n > 2").join(comps, "node", "left").select("band", "node", "n", "size", "sizes", F.coalesce("label", "node").alias("label"))
         split = tagged.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("set"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("lo != hi")
         return stash(tagged.join(split.groupBy("set", "sum").agg(F.min("band").alias("band")).select("band"), "band"))
 
@@ -229,8 +263,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
 
     # What is left: members outside a bucket's largest component are compared with all of other components, block by block.
     held = open_buckets()
-    largest = held.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"))
-    sized = held.join(largest, "band").withColumns({"minor": F.col("label") != F.col("top.label"), "rows": F.ceil((F.col("n") - F.col("top.c")) / F.lit(unit)).cast("int"), "columns": F.ceil(F.col("n") / F.lit(unit)).cast("int")})
+    largest = held.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("size").alias("s")).groupBy("band").agg(F.max(F.struct("c", "label", "s")).alias("top"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / F.lit(unit), size / F.lit(UNIT_SHINGLES))).cast("int")
+    sized = held.join(largest, "band").withColumns({"minor": F.col("label") != F.col("top.label"), "rows": blocks(F.col("n") - F.col("top.c"), F.col("sizes") - F.col("top.s")), "columns": blocks(F.col("n"), F.col("sizes"))})
     at = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     sides = sized.where("minor").select("band", "node", "label", F.lit(0).alias("block"), at("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j")).unionByName(
         sized.select("band", "node", "label", F.lit(1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), at("columns").alias("j"))
