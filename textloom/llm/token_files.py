@@ -13,7 +13,7 @@ over all files and blocks, beside ``ranks``, the ids by rank. ``read`` decodes b
 the lengths that each control byte stands for.
 
 Texts are cut at white space, which this kind of tokenizer drops before it splits words: every distinct piece
-is encoded once per task by the library and looked up by its 64-bit hash after that. That holds
+is encoded by the library once per Python worker (or again when more than ``REMEMBERED`` are held) and looked up by its 64-bit hash after that. That holds
 for a tokenizer whose normaliser and splitter never look across white space, such as
 word_bpe_49k.json; ``by_pieces=False`` encodes whole texts instead.
 
@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import shared_dir
+from .shared import shared_dir, stash
 
 END = 2
-#: Distinct pieces that a task remembers, ids in a block, documents in a file, files at most.
-REMEMBERED, BLOCK_IDS, FILE_DOCS, FILES = 1_000_000, 1 << 20, 20_000, 4096
+#: Distinct pieces that a worker remembers, ids in a block, documents in a file, files at most.
+REMEMBERED, BLOCK_IDS, FILE_DOCS, FILES = 2_000_000, 1 << 20, 20_000, 4096
 #: Byte lengths of the four numbers under each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 BLOCKS = "file int, block int, doc_ids array<bigint>, counts array<bigint>, control binary, data binary"
@@ -110,14 +110,55 @@ def with_end(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(ids, np.cumsum(count), END), count + 1
 
 
-def count_ids(batches: Iterator[pa.RecordBatch], path: str, by_pieces: bool) -> Iterator[pa.RecordBatch]:
-    source, seen = (Pieces if by_pieces else Texts)(path), np.zeros(0, np.int64)
+_SOURCES: dict[tuple[str, bool], Pieces | Texts] = {}
+
+
+def source(path: str, by_pieces: bool) -> Pieces | Texts:
+    """One for each Python worker, which runs many tasks: what a task has encoded serves the next."""
+    key = path, by_pieces
+    if key not in _SOURCES:
+        _SOURCES.clear()
+        _SOURCES[key] = (Pieces if by_pieces else Texts)(path)
+    return _SOURCES[key]
+
+
+def binaries(whole: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Slices of ``whole`` between the byte offsets ``at``."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
+
+
+def tokenise(batches: Iterator[pa.RecordBatch], path: str, by_pieces: bool, width: str) -> Iterator[pa.RecordBatch]:
+    encode_ids = source(path, by_pieces).ids
     for batch in batches:
         for part in W.slices(batch):
-            ids, _ = with_end(*source.ids(part.column("text")))
-            now = np.bincount(ids, minlength=len(seen))
-            now[: len(seen)] += seen
-            seen = now
+            ids, count = with_end(*encode_ids(part.column("text")))
+            own = ids.astype(width)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("xx"), pa.array(count, pa.int64()), binaries(own, np.r_[0, np.cumsum(count)] * own.itemsize)], names=["doc_id", "xx", "n", "ids"])
+
+
+def flat_ids(column: pa.Array, width: str) -> np.ndarray:
+    _, offs, data = column.buffers()
+    o = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[o[0] : o[-1]].view(width) if len(column) else np.zeros(0, width)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``most`` ids at a time."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n").to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def count_ids(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(0, np.int64)
+    for part in parts_of(batches, BLOCK_IDS):
+        now = np.bincount(flat_ids(part.column("ids"), width), minlength=len(seen))
+        now[: len(seen)] += seen
+        seen = now
     some = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], names=["id", "n"])
 
@@ -152,16 +193,13 @@ def decode(control: np.ndarray, data: np.ndarray, count: np.ndarray) -> np.ndarr
     return out
 
 
-def encode(batches: Iterator[pa.RecordBatch], path: str, by_pieces: bool, rank: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    source = (Pieces if by_pieces else Texts)(path)
-    for batch in batches:
-        for part in W.slices(batch):
-            ids, count = with_end(*source.ids(part.column("text")))
-            control, c, data, d = code(rank[ids], count)
-            doc_id = part.column("doc_id")
-            file = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
-            cut = lambda whole, at: pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(file), doc_id, part.column("xx"), pa.array(count, pa.int64()), cut(control, c), cut(data, d)], names=["file", "doc_id", "xx", "n", "control", "data"])
+def encode(batches: Iterator[pa.RecordBatch], width: str, rank: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for part in parts_of(batches, BLOCK_IDS):
+        count = part.column("n").to_numpy(zero_copy_only=False)
+        control, c, data, d = code(rank[flat_ids(part.column("ids"), width)], count)
+        doc_id = part.column("doc_id")
+        file = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(file), doc_id, part.column("xx"), part.column("n"), binaries(control, c), binaries(data, d)], names=["file", "doc_id", "xx", "n", "control", "data"])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -191,17 +229,19 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, by_pieces: bool = True
     """Token-ID files of ``docs`` (doc_id integer, text) under the path ``out``."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("xx"))
+    width = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+    ids = stash(own.mapInArrow(lambda it: tokenise(it, tokenizer_path, by_pieces, width), "doc_id bigint, xx bigint, n bigint, ids binary"))
     # One row for each id of the vocabulary at most.
-    seen = own.select("text").mapInArrow(lambda it: count_ids(it, tokenizer_path, by_pieces), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    seen = ids.select("n", "ids").mapInArrow(lambda it: count_ids(it, width), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = [r.id for r in sorted(seen, key=lambda r: (-r.n, r.id))]
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     spark.createDataFrame([(order,)], "ids array<bigint>").coalesce(1).write.parquet(f"{out}/ranks")
     n = next((r.n for r in seen if r.id == END), 0)
     parts = min(FILES, n // FILE_DOCS + 1)
-    bounds = own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    bounds = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     bounds = np.unique(np.array(bounds or [], np.int64))
-    coded = own.mapInArrow(lambda it: encode(it, tokenizer_path, by_pieces, rank, bounds), "file int, doc_id bigint, xx bigint, n bigint, control binary, data binary")
+    coded = ids.mapInArrow(lambda it: encode(it, width, rank, bounds), "file int, doc_id bigint, xx bigint, n bigint, control binary, data binary")
     ordered = coded.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", "doc_id", "xx")
     ordered.mapInArrow(lambda it: blocks(it, BLOCK_IDS), BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
 
