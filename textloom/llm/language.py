@@ -29,7 +29,7 @@ from . import words as W
 from .shared import stash
 
 DIM, SAMPLE, CENTROIDS, ROUNDS = 4096, 500, 4, 12
-QUANTILE, SLACK = 0.001, 0.5
+QUANTILE, SLACK = 0.001, 0.3
 ROWS = 1024  # texts held as dense vectors at a time
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
