@@ -13,18 +13,20 @@ WORD = "[0-9A-Za-z_]"
 HEAD, TAIL = f"(?<!{WORD})", f"(?!{WORD})"
 EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 ANSI = "\\x1b\\[[0-9;]*[A-Za-z]"
+#: Word characters may precede error and exception, so no boundary is looked for there.
 IMPORTANT = (
-    f"(?i){HEAD}(?:[0-9A-Za-z_]*(?:error|exception)s?|err|warn(?:ing)?s?|fail(?:s|ed|ure|ures)?|panic(?:s|ked)?|fatal|critical|traceback|denied|refused"
+    f"(?i)(?:error|exception)s?{TAIL}|(?=[ewfpctdras]){HEAD}(?:err|warn(?:ing)?s?|fail(?:s|ed|ure|ures)?|panic(?:s|ked)?|fatal|critical|traceback|denied|refused"
     f"|timeouts?|timed[^\\n\\r\\u2028\\u2029]?out|assert(?:s|ed|ion|ions)?|segfault(?:s|ed)?){TAIL}"
 )
 STAMP = "[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?"
-UUID = f"(?i){EDGE}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{EDGE}"
+# A first look at one character spares the lookbehind at most places.
+UUID = f"(?i)(?=[0-9a-f]){HEAD}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{TAIL}"
 MASKS = (
     (STAMP, "<ts>"),
-    (f"{EDGE}[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[.,][0-9]+)?{EDGE}", "<time>"),
+    (f"(?=[0-9]){HEAD}[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[.,][0-9]+)?{TAIL}", "<time>"),
     (UUID, "<uuid>"),
-    (f"(?i){EDGE}[0-9a-f]{{7,64}}{EDGE}", "<hex>"),
-    (f"(?i){EDGE}[0-9]+(?:\\.[0-9]+)?[ \\t\\u00a0]?(?:ms|us|[\\u00b5\\u03bc\\u039c]s|ns|s|m|h|%|[KMGT]i?B)?{EDGE}", "<n>"),
+    (f"(?i)(?=[0-9a-f]){HEAD}[0-9a-f]{{7,64}}{TAIL}", "<hex>"),
+    (f"(?i)(?=[0-9]){HEAD}[0-9]+(?:\\.[0-9]+)?[ \\t\\u00a0]?(?:ms|us|[\\u00b5\\u03bc\\u039c]s|ns|s|m|h|%|[KMGT]i?B)?{EDGE}", "<n>"),
 )
 TOKEN_WEIGHTS = {"word": 161, "odd": 1501, "digit": 807, "punct": 690, "space": 428}
 LONGEST_WORD = 14

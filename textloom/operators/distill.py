@@ -103,57 +103,59 @@ def top_repeats(rows: DataFrame) -> DataFrame:
     return exact.unionByName(alike).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).select("doc_id", "rank", "count", "kind", "exemplar")
 
 
-def distilled_lines(lines: DataFrame, query: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Output lines (doc_id, part, pos, line) and one row of counts for each document (doc_id, ...)."""
-    rows = prepared(lines)
-    told = suppression(collapsed(rows))
-    n_exact = F.count_if(~F.col("passed") & ~F.col("first") & (F.col("rn") > KEEP_EXACT))
-    n_template = F.count_if(F.col("first") & (F.col("crn") > KEEP_TEMPLATE))
-    counts = told.groupBy("doc_id").agg(
-        F.count_if(F.col("masked").isNull()).alias("collapsed_runs"), F.count_if("important").alias("important_kept"), n_exact.alias("suppressed"), n_template.alias("template_suppressed")
+def summed_up(told: DataFrame) -> DataFrame:
+    """One row a document from suppression(): doc_id, lines (array of line, important in output order) and counts.
+
+    Everything is one aggregation, so that what leads to it is evaluated once.
+    """
+    exemplar = T.first_chars(T.trim_space(F.col("line")), EXEMPLAR)
+    entry = lambda n, kind: F.struct((-F.col(n)).alias("less"), F.lit(kind).alias("kind"), "pos", exemplar.alias("exemplar"))
+    rows = told.groupBy("doc_id").agg(
+        F.count_if(F.col("masked").isNull()).alias("collapsed_runs"),
+        F.count_if("important").alias("important_kept"),
+        F.count_if(~F.col("passed") & ~F.col("first") & (F.col("rn") > KEEP_EXACT)).alias("suppressed"),
+        F.count_if(F.col("first") & (F.col("crn") > KEEP_TEMPLATE)).alias("template_suppressed"),
+        F.collect_list(F.when(is_kept(), F.struct("pos", "line", "important"))).alias("body"),
+        F.collect_list(F.when(F.col("first") & (F.col("n") > KEEP_EXACT), entry("n", "exact"))).alias("exact"),
+        F.collect_list(F.when(F.col("first") & (F.col("crn") == 1) & (F.col("cn") > KEEP_TEMPLATE), entry("cn", "template"))).alias("alike"),
     )
-    top = top_repeats(told)
-    some = counts.where("suppressed + template_suppressed > 0").select("doc_id", "suppressed", "template_suppressed")
-    word = lambda c: F.col(c).cast("string")
-    head = some.select(
-        "doc_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"),
-        F.concat(F.lit("── "), (F.col("suppressed") + F.col("template_suppressed")).cast("string"), F.lit(" repeated lines suppressed ("), word("suppressed"), F.lit(" exact ×N, "), word("template_suppressed"), F.lit(" same-template; first occurrences kept above) ──")).alias("line"),
-    )
-    tail = top.join(some.select("doc_id"), "doc_id", "left_semi").select(
-        "doc_id", F.lit(2).alias("part"), F.col("rank").cast("long").alias("pos"),
-        F.concat(F.lit("  ×"), word("count"), F.when(F.col("kind") == "template", F.lit(" (template)")).otherwise(F.lit("")), F.lit("  "), F.col("exemplar")).alias("line"),
-    )
-    body = told.where(is_kept()).select("doc_id", F.lit(0).alias("part"), "pos", "line", "important")
-    added = head.unionByName(tail).withColumn("important", T.is_important(F.col("line")))
-    out = body.unionByName(added)
-    if query is not None:
-        out = sliced(out, query)
-    return out.select("doc_id", "part", "pos", "line"), counts
+    word = lambda c: c.cast("string")
+    gone = F.col("suppressed") + F.col("template_suppressed")
+    head = F.concat(F.lit("── "), word(gone), F.lit(" repeated lines suppressed ("), word(F.col("suppressed")), F.lit(" exact ×N, "), word(F.col("template_suppressed")), F.lit(" same-template; first occurrences kept above) ──"))
+    tag = lambda e: F.when(e["kind"] == "template", F.lit(" (template)")).otherwise(F.lit(""))
+    tail = F.transform(F.slice(F.array_sort(F.concat("exact", "alike")), 1, TOP), lambda e: F.concat(F.lit("  ×"), word(-e["less"]), tag(e), F.lit("  "), e["exemplar"]))
+    added = F.transform(F.concat(F.array(head), tail), lambda x: F.struct(x.alias("line"), T.is_important(x).alias("important")))
+    body = F.transform(F.array_sort("body"), lambda r: F.struct(r["line"].alias("line"), r["important"].alias("important")))
+    return rows.select("doc_id", F.when(gone > 0, F.concat(body, added)).otherwise(body).alias("lines"), "collapsed_runs", "important_kept", "suppressed", "template_suppressed")
 
 
 def sliced(rows: DataFrame, query: str, context: int = CONTEXT) -> DataFrame:
-    """Lines that match ``query`` (any case) or are important, with ``context`` lines around; gaps become one line that counts them."""
+    """Lines (doc_id, pos, line, important) that match ``query`` (any case) or are important, with ``context`` lines around; gaps become one line that counts them."""
     try:
         re.compile(query)
         pattern = f"(?i){query}"
     except re.error:
         pattern = "(?i)" + re.escape(query)
-    order = Window.partitionBy("doc_id").orderBy("part", "pos")
+    order = Window.partitionBy("doc_id").orderBy("pos")
     hit = (F.col("important") | F.col("line").rlike(pattern)).cast("int")
     near = rows.withColumn("hit", hit).withColumn("keep", F.max("hit").over(order.rowsBetween(-context, context)) == 1)
-    # A gap is a maximal run of lines that go; it is numbered by the lines kept before it.
+    # A gap's count stands where its first line was: the line before it was kept, or there is none.
     near = near.withColumn("gap", F.sum(F.col("keep").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    gaps = near.where("not keep").groupBy("doc_id", "gap").agg(F.min(F.struct("part", "pos")).alias("at"), F.count("*").alias("n"))
-    told = gaps.select("doc_id", F.col("at.part").alias("part"), F.col("at.pos").alias("pos"), F.concat(F.lit("… "), F.col("n").cast("string"), F.lit(" lines omitted")).alias("line"))
-    return near.where("keep").select("doc_id", "part", "pos", "line").unionByName(told)
+    by_gap = Window.partitionBy("doc_id", "gap")
+    near = near.withColumns({"n": F.count_if(~F.col("keep")).over(by_gap), "at": F.min(F.when(~F.col("keep"), F.col("pos"))).over(by_gap)})
+    told = F.when(F.col("keep"), F.col("line")).when(F.col("pos") == F.col("at"), F.concat(F.lit("… "), F.col("n").cast("string"), F.lit(" lines omitted")))
+    return near.select("doc_id", "pos", told.alias("line")).where("line is not null")
 
 
 def distill(docs: DataFrame, query: str | None = None) -> DataFrame:
     """doc_id, distilled and its counts, for each text of ``docs`` (doc_id, text)."""
-    lines, counts = distilled_lines(split_lines(docs), query)
-    rows = F.array_sort(F.collect_list(F.struct("part", "pos", "line")))
-    text = lines.groupBy("doc_id").agg(rows.alias("rows"), F.count("*").alias("out_lines")).select("doc_id", "out_lines", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("distilled"))
+    rows = summed_up(suppression(collapsed(prepared(split_lines(docs)))))
     before = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("orig_lines"), T.octets(F.col("text")).alias("orig_bytes"))
-    out = before.join(text, "doc_id").join(counts, "doc_id").withColumn("out_bytes", T.octets(F.col("distilled")))
+    text = F.transform("lines", lambda x: x["line"])
+    if query is not None:
+        one = sliced(rows.select("doc_id", F.posexplode("lines").alias("pos", "x")).select("doc_id", "pos", "x.line", "x.important"), query)
+        one = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+        rows = rows.drop("lines").join(one, "doc_id")
+    out = before.join(rows.withColumns({"out_lines": F.size("lines").cast("long"), "distilled": F.array_join(text, "\n")}).drop("lines"), "doc_id")
+    out = out.withColumn("out_bytes", T.octets(F.col("distilled")))
     return out.withColumn("saved_pct", T.percent_saved(F.col("orig_bytes"), F.col("out_bytes")))
-

@@ -59,8 +59,16 @@ def is_protected(line: Column) -> Column:
     return (line != "") & (line.rlike("^[ \\t]") | (10 * symbols > 3 * F.length(line)) | line.rlike(f"[^{T.SPACE}]{{{LONG_TOKEN}}}"))
 
 
+def _words(pattern: str, tail: str) -> str:
+    """Words after a boundary. A look at the first letter spares the lookbehind at most places."""
+    optional = "(?:please )?"
+    starts = {"p", pattern[len(optional)]} if pattern.startswith(optional) else {pattern[0]} if "(" in pattern else {w[0] for w in pattern.split("|")}
+    first = "".join(sorted(starts)) + ("\\u017f" if "s" in starts else "")
+    return f"(?iu)(?=[{first}])(?<!{W})(?:{pattern}){tail}"
+
+
 def _phrase(pattern: str) -> str:
-    return f"(?iu)(?<!{W})(?:{pattern})(?!{W})"
+    return _words(pattern, f"(?!{W})")
 
 
 def tightened(line: Column, level: int) -> Column:
@@ -70,9 +78,9 @@ def tightened(line: Column, level: int) -> Column:
         steps += [(_phrase(p), r) for p, r in HEDGES]
     steps += [(_phrase(p), r) for p, r in FILLER]
     if level >= 3:
-        steps += [(f"(?iu)(?<!{W})(?:{words})[{T.SPACE}]+", "") for words in (ARTICLES, INTENSIFIERS)]
+        steps += [(_words(words, f"[{T.SPACE}]+"), "") for words in (ARTICLES, INTENSIFIERS)]
     if level >= 4:
-        steps.append((f"(?iu)(?<!{W})(?:{FUNCTION_WORDS})(?!{W})[{T.SPACE}]*", ""))
+        steps.append((_words(FUNCTION_WORDS, f"(?!{W})[{T.SPACE}]*"), ""))
     steps += [(" {2,}", " "), (f"[{T.SPACE}]+([.,;:!?])", "$1")]
     return T.trim_space(reduce(lambda s, step: F.regexp_replace(s, *step), steps, line))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import text as T
 from ..operators import codebook, commands, dialog, distill, geometry, jsonrows, ladder, ledger, lines, needles, pages, pricing, secrets, store
 from ..sources.tables import read_table
@@ -164,6 +165,12 @@ def table_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonrows.table_decoded(jsonrows.table_encoded(event_rows(spark, sf_dir, 200)))
 
 
+@query("json_fields", """SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS canonical, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS s FROM events""")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.col("props")
+    return read_table(spark, sf_dir, "events").select("event_id", J.canonical(props).alias("canonical"), J.count_field(props, "k").alias("k"), J.string_field(props, "k").alias("s"))
+
+
 # Prose compression
 
 _W = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}"
@@ -174,7 +181,7 @@ def _protected(x: str) -> str:
     return f"({x} <> '' AND (regexp_matches({x}, '^[ \\t]') OR 10 * {symbols} > 3 * length({x}) OR regexp_matches({x}, {S.lit(f'[^{S.SPACE}]' + '{24}')})))"
 
 
-def _without(column: str, words: str, tail: bool, passes: int = 8) -> str:
+def _without(column: str, words: str, tail: bool, passes: int = 12) -> str:
     """RE2 has no lookbehind: the character before is put back, and passes repeat, for it may end one match and begin the next."""
     end = f"(?:[{S.SPACE}]+|([^{_W}{S.SPACE}])|$)" if tail else f"[{S.SPACE}]+"
     for _ in range(passes):
