@@ -51,7 +51,7 @@ LISTS = (("ls", ""), ("find", ""), ("grep", ""), ("rg", ""), ("fd", ""), ("docke
 
 
 def base_name(cmd: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.element_at(cmd, 1), "(?s)^.*[/\\\\]", ""), "\\.exe\\z", "")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(F.get(cmd, F.lit(0)), F.lit("")), "(?s)^.*[/\\\\]", ""), "\\.exe\\z", "")
 
 
 def _ruled(rule: Rule) -> tuple[Column, Column]:
