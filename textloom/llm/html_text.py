@@ -20,9 +20,11 @@ repeated rows are extracted each; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -130,61 +132,73 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+@lru_cache(maxsize=65536)
+def host_id(url_host: str) -> int:
+    return int.from_bytes(hashlib.blake2b(url_host.encode(), digest_size=8).digest(), "little")
+
+
 class Parsed:
-    """A page's blocks; its unprotected ones as one stream of word hashes."""
+    """A page's blocks, and which of them aren't protected."""
 
     def __init__(self, url: str | None, page: str | None) -> None:
-        self.blocks = blocks(page or "")
+        self.url, self.blocks = url, blocks(page or "")
         self.has_content = any(r == KEPT for r, _ in self.blocks)
         self.free = [i for i, (r, _) in enumerate(self.blocks) if r != KEPT]
-        data = pa.array([self.blocks[i][1] for i in self.free], pa.string())
-        self.tokens, self.owner = W.words(*W.raw(data))
-        self.host = W.word_list(host(url))
-        self.host_id = int(np.bitwise_xor.reduce(W.mix(self.host * np.uint64(3) + np.arange(len(self.host), dtype=np.uint64)))) if len(self.host) else 0
-        whole, doc = W.words(*W.raw(pa.array([" ".join(t for _, t in self.blocks)], pa.string())))
-        self.key = int(W.mix(np.add.reduce(W.mix(whole + np.arange(len(whole), dtype=np.uint64) * W.ROLL), keepdims=True))[0]) if len(whole) else 0
-
-    def runs(self) -> np.ndarray:
-        """Hashes of the windows of RUN tokens, bound to the host."""
-        n = max(0, len(self.tokens) - RUN + 1)
-        p, out = W.powers(W.ROLL, RUN), np.full(n, self.host_id, np.uint64)
-        for j in range(RUN):
-            out += self.tokens[j : n + j] * p[j]
-        return W.mix(out)
 
-    def text(self, repeated: set[int] | None = None) -> str:
+    @property
+    def open(self) -> bool:
+        return not self.has_content and any(r == OPEN for r, _ in self.blocks)
+
+    def key(self) -> int:
+        """Equal for pages of equal texts."""
+        return int.from_bytes(hashlib.blake2b("\n".join(t for _, t in self.blocks).encode(), digest_size=8).digest(), "little")
+
+    def text(self, repeated: np.ndarray | None = None) -> str:
+        """The page's text; of open blocks those without a majority of tokens in ``repeated`` runs."""
         if self.has_content:
             return "\n".join(t for r, t in self.blocks if r == KEPT)
-        covered = np.zeros(len(self.tokens), bool)
-        if repeated:
-            for i in np.flatnonzero(np.isin(self.runs(), np.array(list(repeated), np.uint64))):
+        boiler: set[int] = set()
+        if repeated is not None and len(repeated):
+            stream = Stream([self])
+            covered = np.zeros(len(stream.tokens), bool)
+            for i in stream.whole[np.isin(stream.runs, repeated)]:
                 covered[i : i + RUN] = True
-        n = len(self.free)
-        all_, hit = np.bincount(self.owner, minlength=n), np.bincount(self.owner, weights=covered, minlength=n)
-        boiler = {self.free[i] for i in range(n) if all_[i] and 2 * hit[i] > all_[i]}
+            n = len(self.free)
+            every, hit = np.bincount(stream.block, minlength=n), np.bincount(stream.block, weights=covered, minlength=n)
+            boiler = {self.free[i] for i in range(n) if every[i] and 2 * hit[i] > every[i]}
         return "\n".join(t for i, (r, t) in enumerate(self.blocks) if r == OPEN and i not in boiler)
 
-    @property
-    def open(self) -> bool:
-        return not self.has_content and any(r == OPEN for r, _ in self.blocks)
 
+class Stream:
+    """Tokens of the unprotected blocks of pages as one stream; runs of RUN tokens inside a page, bound to its host."""
 
-def suffixes(pages: list[Parsed]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of the concatenated streams, sorted to a depth of RUN tokens, and the rank of each suffix's first RUN tokens (suffixes cut off by a page's end are left out)."""
-    stream = np.concatenate([np.zeros(0, np.uint64), *(p.tokens for p in pages)])
-    page = np.repeat(np.arange(len(pages)), [len(p.tokens) for p in pages])
-    rank = np.unique(stream ^ np.array([p.host_id for p in pages], np.uint64)[page], return_inverse=True)[1] if len(stream) else np.zeros(0, np.int64)
-    depth = 1
-    while depth < RUN:
-        # Rank pairs: a suffix's own rank and that of the one ``depth`` tokens on, none beyond its page.
-        on = np.full(len(rank), -1, np.int64)
-        same = np.flatnonzero(page[: len(page) - depth] == page[depth:]) if len(page) > depth else np.zeros(0, np.int64)
-        on[same] = rank[same + depth]
-        rank = np.unique(rank * (len(rank) + 1) + on + 1, return_inverse=True)[1]
-        depth *= 2
-    n = len(stream)
-    whole = np.flatnonzero(page[: max(0, n - RUN + 1)] == page[RUN - 1 :]) if n >= RUN else np.zeros(0, np.int64)
-    return whole[np.argsort(rank[whole], kind="stable")], rank
+    def __init__(self, pages: list[Parsed]) -> None:
+        texts = [p.blocks[i][1] for p in pages for i in p.free]
+        owner = np.repeat(np.arange(len(pages)), [len(p.free) for p in pages])
+        self.tokens, self.block = W.words(*W.raw(pa.array(texts, pa.string())))
+        self.page = owner[self.block] if len(owner) else np.zeros(0, np.int64)
+        self.host = np.array([host_id(host(p.url)) for p in pages], np.uint64)
+        n = max(0, len(self.tokens) - RUN + 1)
+        self.whole = np.flatnonzero(self.page[:n] == self.page[RUN - 1 : RUN - 1 + n])
+        p, value = W.powers(W.ROLL, RUN), self.host[self.page[:n]]
+        for j in range(RUN):
+            value = value + self.tokens[j : n + j] * p[j]
+        self.runs = W.mix(value[self.whole])
+
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``whole`` in the order of their suffixes, sorted to a depth of RUN tokens, and each one's rank by its first RUN tokens."""
+        page = self.page
+        rank = np.unique(self.tokens ^ self.host[page], return_inverse=True)[1] if len(page) else np.zeros(0, np.int64)
+        depth = 1
+        while depth < RUN:
+            # Rank pairs: a suffix's own rank and that of the one ``depth`` tokens on, none beyond its page.
+            on = np.full(len(rank), -1, np.int64)
+            same = np.flatnonzero(page[: len(page) - depth] == page[depth:]) if len(page) > depth else np.zeros(0, np.int64)
+            on[same] = rank[same + depth]
+            rank = np.unique(rank * (len(rank) + 1) + on + 1, return_inverse=True)[1]
+            depth *= 2
+        rank = rank[self.whole]
+        return np.argsort(rank, kind="stable"), rank
 
 
 def found_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +206,14 @@ def found_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch, "html"):
             pages = [Parsed(u, h) for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)]
-            order, rank = suffixes(pages)
+            stream = Stream(pages)
+            order, rank = stream.suffixes()
             if not len(order):
                 continue
-            key = np.repeat(np.array([p.key for p in pages], np.uint64).view(np.int64), [len(p.tokens) for p in pages])
-            # Every suffix's run as a hash that other tasks share.
-            value = np.zeros(len(rank), np.uint64)
-            at = 0
-            for p in pages:
-                r = p.runs()
-                value[at : at + len(r)] = r
-                at += len(p.tokens)
-            head = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(value[order][head].view(np.int64)), pa.array(np.minimum.reduceat(key[order], head)), pa.array(np.maximum.reduceat(key[order], head))], names=["run", "lo", "hi"])
+            key = np.array([p.key() for p in pages], np.uint64).view(np.int64)[stream.page[stream.whole]][order]
+            rank = rank[order]
+            head = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(stream.runs[order][head].view(np.int64)), pa.array(np.minimum.reduceat(key, head)), pa.array(np.maximum.reduceat(key, head))], names=["run", "lo", "hi"])
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +225,14 @@ def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = Parsed(u, h)
                 text.append(None if p.open else p.text())
                 html.append(h if p.open else None)
-                runs.append(np.unique(p.runs()).view(np.int64).tolist() if p.open else None)
+                runs.append(np.unique(Stream([p]).runs).view(np.int64).tolist() if p.open else None)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(html, pa.string()), pa.array(runs, pa.list_(pa.int64()))], names=["page_id", "url", "text", "html", "runs"])
 
 
 def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), batch.column("runs").to_pylist(), strict=True)
-        text = [Parsed(u, h).text({r % (1 << 64) for r in found or ()}) for u, h, found in rows]
+        text = [Parsed(u, h).text(np.array(found or [], np.int64).view(np.uint64)) for u, h, found in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
