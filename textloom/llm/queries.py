@@ -26,7 +26,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP4_SQL = f"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents), bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM bw WHERE len(ws) > 0)),
+dg AS (SELECT r, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k)),
+hit AS (SELECT r, i, k, item_id FROM dg JOIN win USING (k, g)), pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
+it AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS xs FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(xs), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(xs, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN pos USING (r) LEFT JOIN it USING (r)"""
+
+OP10_SQL = """WITH d AS (SELECT doc_id, source, CAST(len([w FOR w IN string_split_regex(coalesce(text, ''), '[ \\t-\\r]+') IF w <> '']) AS BIGINT) AS size, CAST('0x' || left(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '-')), 8) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][(n - 1) % 3 + 1] AS DOUBLE) AS wt, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+f AS (SELECT *, row_number() OVER o AS fr, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(wt) OVER () - coalesce(sum(wt) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev FROM w WINDOW o AS (ORDER BY source_size / wt, n)),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT min_by(lev, fr) FROM f WHERE lev * wt <= cap) * wt, cap)) AS target FROM f),
+r AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size > 0 THEN floor(sqrt(sqrt(size::DOUBLE)) * 16) ELSE 0 END, h % 256, h, doc_id, size) AS rk,
+  CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, CAST('0x' || left(md5('7|offset|' || coalesce('s' || d.source, '')), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * least(2, floor(u + rate * rk) - floor(u + rate * (rk - 1))) AS BIGINT) AS taken FROM r"""
+
+ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op10_mixing": OP10_SQL}
