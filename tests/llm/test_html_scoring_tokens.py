@@ -22,6 +22,7 @@ def test_structure():
     assert H.Parsed(None, "plain <text").text() == "plain <text"
     assert H.Parsed(None, "<article><p>a<script>x").text() == "a"
     assert H.Parsed(None, "<article><p>a<!-- b </p> --><p>c").text() == "a\nc"
+    assert H.Parsed(None, '<article class="post ad-free"><p>a</article><article class="comment"><p>b').text() == "a"
     assert H.host("https://User@Www.Example.org:80/x") == "www.example.org"
 
 

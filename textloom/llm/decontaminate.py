@@ -186,22 +186,22 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, near: i
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` without the contaminated ones; no shuffle: rows are marked where they are read."""
-    blocks, _ = phrase_blocks(items, width)
+    """``docs`` without the contaminated ones, a narrow pass for each block of items: rows are marked where they are read."""
     schema = StructType([*docs.schema.fields, StructField("_hit", BooleanType())])
-    return docs.mapInArrow(lambda it: marked(it, blocks), schema).where("not _hit").drop("_hit")
+    for phrases in phrase_blocks(items, width)[0]:
+        docs = docs.mapInArrow(lambda it, p=phrases: marked(it, p), schema).where("not _hit").drop("_hit")
+    return docs
 
 
-def marked(batches: Iterator[pa.RecordBatch], blocks: list[Phrases]) -> Iterator[pa.RecordBatch]:
+def marked(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     """Rows with whether they hold a phrase: a segment's index lives only as long as its rows pass."""
     for batch in batches:
         for part in W.slices(batch):
             own = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column("text")], names=["doc_id", "text"])
             hit = np.zeros(part.num_rows, bool)
             for segment in index_segments([own]):
-                for phrases in blocks:
-                    starts, terms, ends, places = (np.frombuffer(segment.column(c)[0].as_py(), t) for c, t in (("starts", np.uint32), ("terms", np.uint64), ("ends", np.uint32), ("places", np.uint32)))
-                    for _, windows, _ in phrases.groups:
-                        _, place = intersect(terms, ends, places, windows, None)
-                        hit[np.searchsorted(starts, place, "right") - 1] = True
+                starts, terms, ends, places = (np.frombuffer(segment.column(c)[0].as_py(), t) for c, t in (("starts", np.uint32), ("terms", np.uint64), ("ends", np.uint32), ("places", np.uint32)))
+                for _, windows, _ in phrases.groups:
+                    _, place = intersect(terms, ends, places, windows, None)
+                    hit[np.searchsorted(starts, place, "right") - 1] = True
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hit)], names=[*part.schema.names, "_hit"])

@@ -45,8 +45,10 @@ CONTENT = frozenset(("article", "main"))
 #: Parts of a class, id or role that mark furniture.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer contentinfo sidebar aside complementary "
-    "cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond discussion replies reply disqus widget toolbar search form".split()
+    "cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond discussion replies reply disqus widget toolbar search form dialog modal disclaimer gdpr".split()
 )
+#: Of these, what an article element can itself be.
+ASIDE = frozenset("comment comments reply replies related sponsored promo".split())
 #: These mark furniture outside content only.
 TOP = frozenset(("header", "masthead", "topbar"))
 FURNISHED, OPEN, KEPT = 0, 1, 2
@@ -64,7 +66,7 @@ def _role(name: str, attributes: str, outer: int) -> int:
                 return FURNISHED
         elif key in ("class", "id", "role") and name not in ("body", "html"):
             parts = set(re.split(r"[^a-z0-9]+", value))
-            if parts & MARKS or (outer != KEPT and parts & TOP):
+            if parts & (ASIDE if name in CONTENT else MARKS) or (outer != KEPT and name not in CONTENT and parts & TOP):
                 return FURNISHED
     return KEPT if name in CONTENT else outer
 

@@ -32,7 +32,7 @@ from .shared import stash
 
 VOCABULARY, CLASSES, OTHER = 4096, 96, 64
 REACH, WIDTH, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH, RATE, CLIP = 8, 2, 4096, 0.15, 5.0
+STRIDE, ROUNDS, BATCH, RATE, CLIP = 8, 2, 2048, 2.0, 5.0
 PIECES, SALTS = 8, 64
 
 

@@ -12,9 +12,10 @@ with documents in ascending order of doc_id (null first; rows that repeat a doc_
 over all files and blocks, beside ``ranks``, the ids by rank. ``read`` decodes blocks with a table of
 the lengths that each control byte stands for.
 
-Texts are cut at white space, which this kind of tokenizer drops before it splits words: every distinct piece
+Texts are cut at white space, which this kind of tokenizer drops before it splits words, and before punctuation
+that ends a piece, where it splits: every distinct piece
 is encoded by the library once per Python worker (or again when more than ``REMEMBERED`` are held) and looked up by its 64-bit hash after that. That holds
-for a tokenizer whose normaliser and splitter never look across white space, such as
+for a tokenizer whose normaliser and splitter never look across these places, such as
 word_bpe_49k.json; ``by_pieces=False`` encodes whole texts instead.
 
 Defined results: null and empty texts hold the end id alone; repeated rows are written each; other
@@ -39,7 +40,7 @@ from .shared import shared_dir, stash
 
 END = 2
 #: Distinct pieces that a worker remembers, ids in a block, documents in a file, files at most.
-REMEMBERED, BLOCK_IDS, FILE_DOCS, FILES = 2_000_000, 1 << 20, 20_000, 4096
+REMEMBERED, BLOCK_IDS, FILE_DOCS, FILES = 2_000_000, 1 << 20, 4_000, 4096
 #: Byte lengths of the four numbers under each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 BLOCKS = "file int, block int, doc_ids array<bigint>, counts array<bigint>, control binary, data binary"
@@ -53,6 +54,19 @@ def tokenizer(path: str):  # noqa: ANN201
     return Tokenizer.from_file(path)
 
 
+#: ASCII punctuation that may end a piece, and what a text's end of a piece is cut behind. < > and | may belong to special tokens.
+ENDING, PLAIN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+ENDING[33:48] = ENDING[58:65] = ENDING[91:97] = ENDING[123:127] = True
+ENDING[[60, 62, 124]] = False
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = True
+
+
+def endings(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where punctuation after a letter or digit of ASCII ends a piece: a splitter cuts there anyway."""
+    body = np.maximum.accumulate(np.where(ENDING[data], 0, np.arange(len(data))))[last]
+    return (body + 1)[(body >= first) & (body < last) & PLAIN[data[body]]]
+
+
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     count = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter((x for ids in lists for x in ids), np.uint32, int(count.sum())), count
@@ -72,7 +86,7 @@ class Pieces:
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         data, offs = W.raw(text)
-        hashed, doc, start, size = W.runs(data, offs, W.PIECE, W.TABLE)
+        hashed, doc, start, size = W.runs(data, offs, W.PIECE, W.TABLE, endings)
         distinct, first, which = np.unique(hashed, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), bool)
@@ -237,8 +251,7 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, by_pieces: bool = True
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     spark.createDataFrame([(order,)], "ids array<bigint>").coalesce(1).write.parquet(f"{out}/ranks")
-    n = next((r.n for r in seen if r.id == END), 0)
-    parts = min(FILES, n // FILE_DOCS + 1)
+    parts = min(FILES, ids.count() // FILE_DOCS + 1)
     bounds = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     bounds = np.unique(np.array(bounds or [], np.int64))
     coded = ids.mapInArrow(lambda it: encode(it, width, rank, bounds), "file int, doc_id bigint, xx bigint, n bigint, control binary, data binary")

@@ -7,7 +7,7 @@ which is ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` over the lowered text. Words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,18 +67,24 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def runs(data: np.ndarray, offs: np.ndarray, member: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of ``member`` bytes inside each text: hash, text number, first byte, byte length."""
+def runs(data: np.ndarray, offs: np.ndarray, member: np.ndarray, table: np.ndarray, cut: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of ``member`` bytes inside each text: hash, text number, first byte, byte length.
+
+    ``cut`` gets the bytes, first and last bytes of the runs and returns places at which runs are cut in two.
+    """
     inside = member[data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
-    cut = offs[:-1][offs[:-1] < len(data)]
-    begin[cut] = inside[cut]
-    cut = cut[cut > 0] - 1
-    end[cut] = inside[cut]
-    start = np.flatnonzero(begin)
-    size = np.flatnonzero(end) + 1 - start
+    edge = offs[:-1][offs[:-1] < len(data)]
+    begin[edge] = inside[edge]
+    edge = edge[edge > 0] - 1
+    end[edge] = inside[edge]
+    start, last = np.flatnonzero(begin), np.flatnonzero(end)
+    if cut is not None and len(start):
+        more = cut(data, start, last)
+        start, last = np.sort(np.r_[start, more]), np.sort(np.r_[last, more - 1])
+    size = last + 1 - start
     doc = np.searchsorted(offs, start, "right") - 1
     if not len(start):
         return np.zeros(0, np.uint64), doc, start, size
