@@ -10,6 +10,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -106,7 +107,26 @@ def cell_width(c: str) -> int:
     return 2 if unicodedata.east_asian_width(c) in "WF" else 1
 
 
+@lru_cache(maxsize=1)
+def wide_glyph() -> re.Pattern:
+    """Matches any code point of two cells."""
+    wide = [i for i in range(0x1100, 0x40000) if cell_width(chr(i)) == 2]
+    starts = [i for i, before in zip(wide, [-1, *wide], strict=False) if i != before + 1]
+    ends = [i for i, after in zip(wide, [*wide[1:], -1], strict=True) if i != after - 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
+def is_narrow(line: str) -> bool:
+    return line.isascii() or not wide_glyph().search(line)
+
+
+def width(line: str) -> int:
+    return len(line) if is_narrow(line) else sum(map(cell_width, line))
+
+
 def expand_tabs(line: str) -> str:
+    if "\t" not in line:
+        return line
     out, col = [], 0
     for c in line:
         if c == "\t":
@@ -139,8 +159,12 @@ def laid_out(text: str, g: Grid, reflow: bool = True, pack: bool = True) -> list
         text = NEWLINE.join(lines)
     rows: list[str] = []
     for line in _minify(text).split("\n"):
+        line = expand_tabs(line)
+        if is_narrow(line):
+            rows += [line[i : i + g.cols] for i in range(0, len(line), g.cols)] or [""]
+            continue
         row, used = [], 0
-        for c in expand_tabs(line):
+        for c in line:
             w = cell_width(c)
             if used + w > g.cols:
                 rows.append("".join(row))
@@ -164,7 +188,7 @@ def laid_out(text: str, g: Grid, reflow: bool = True, pack: bool = True) -> list
 
 def page_sizes(pages: list[list[str]], g: Grid, pack: bool = True) -> list[tuple[int, int]]:
     full = 2 * PAD + g.cols * g.cw
-    wide = lambda rows: min(g.cols, max(sum(map(cell_width, r)) for r in rows))
+    wide = lambda rows: min(g.cols, max(map(width, rows)))
     return [(max(2 * PAD + wide(p) * g.cw, 2 * PAD + g.cw) if pack else full, 2 * PAD + len(p) * g.ch) for p in pages]
 
 

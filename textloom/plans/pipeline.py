@@ -55,12 +55,13 @@ def recommended(docs: DataFrame) -> DataFrame:
     """One row a document: the cheapest reversible page form, its tiny price, the distilled form, the plain text route and the thinned-out row set.
 
     All forms of all documents are rows of one frame, coded and measured together, and met again by document.
+    Frames that several steps read are persisted, so that each is planned and evaluated once; ``clearCache`` frees them.
     """
     docs = docs.select("doc_id", "text")
-    whole = _form("raw", docs).unionByName(_form("table", jsonrows.table_encoded(docs)))
+    whole = _form("raw", docs).unionByName(_form("table", jsonrows.table_encoded(docs))).persist()
     slim = distilled(whole).select(F.concat(F.lit("slim_"), F.col("doc_id")).alias("doc_id"), F.col("distilled").alias("text"))
-    few = jsonrows.crushed(docs)
-    forms = whole.unionByName(slim).unionByName(_form("crush", few)).unionByName(_form("crush_table", jsonrows.table_encoded(few.select("doc_id", "text"))))
+    few = jsonrows.crushed(docs).persist()
+    forms = whole.unionByName(slim).unionByName(_form("crush", few)).unionByName(_form("crush_table", jsonrows.table_encoded(few.select("doc_id", "text")))).persist()
     coded = codebook.applied(forms).select("doc_id", "encoded", "entries")
     forms = forms.join(coded, "doc_id").select("doc_id", "entries", F.explode(F.array(F.struct(F.lit(0).alias("with_book"), F.col("text").alias("text")), F.struct(F.lit(1).alias("with_book"), F.col("encoded").alias("text")))).alias("f"))
     forms = forms.where("f.with_book = 0 or entries > 0").select(F.concat(F.col("f.with_book").cast("string"), F.lit(SEP), F.col("doc_id")).alias("doc_id"), F.col("f.text").alias("text"))
