@@ -124,8 +124,12 @@ def test_files_hold_what_the_tokenizer_gives(spark):
         assert r.start == at
         at += r.n_tokens
     pieces, whole = T.Pieces(path), T.Texts(path)
-    a, b = pieces.ids(pa.array(TEXTS)), whole.ids(pa.array(TEXTS))
-    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    rng = random.Random(0)
+    parts = ["a", "B", "é", "ß", "'", "’", "s", "t", "re", ".", ",", "#", "!", "1", "23", " ", "\n", "-", "|", ">", "<", "…", "\u0301", "ll", "日", "🦀", "\xa0", "\x85", "\x0b", "\x1c"]
+    fuzz = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(2000)]
+    for texts in (TEXTS, fuzz, fuzz + TEXTS):
+        a, b = pieces.ids(pa.array(texts)), whole.ids(pa.array(texts))
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
 
 
 def test_ids_come_back_and_empty(spark, tmp_path):
