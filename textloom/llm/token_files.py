@@ -72,6 +72,18 @@ def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for ids in lists for x in ids), np.uint32, int(count.sum())), count
 
 
+def encoded(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of ``texts`` and how many each has: many at a time between special tokens, which part texts for the library as calls of its own would."""
+    own = tokenizer(path)
+    mark = next(((i, t.content) for i, t in sorted(own.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+    if mark is None or any(mark[1] in x for x in texts):
+        return flat([e.ids for e in own.encode_batch(texts, add_special_tokens=False)])
+    ids = [np.array(own.encode(mark[1].join(texts[i : i + 512]) + mark[1], add_special_tokens=False).ids, np.uint32) for i in range(0, len(texts), 512)]
+    ids = np.concatenate([np.zeros(0, np.uint32), *ids])
+    ends = np.flatnonzero(ids == mark[0])
+    return ids[ids != mark[0]], np.diff(np.r_[-1, ends]) - 1
+
+
 class Pieces:
     """Ids of texts by way of their pieces."""
 
@@ -98,7 +110,7 @@ class Pieces:
                 new = np.ones(len(distinct), bool)
             whole = data.tobytes()
             texts = [whole[start[i] : start[i] + size[i]].decode() for i in first[new]]
-            ids, count = flat([e.ids for e in tokenizer(self.path).encode_batch(texts, add_special_tokens=False)])
+            ids, count = encoded(self.path, texts)
             known = np.r_[self.known, distinct[new]]
             order = np.argsort(known)
             self.begin = np.r_[self.begin, len(self.pool) + np.cumsum(count) - count][order]
