@@ -39,3 +39,27 @@ def test_common_words_of_the_tail_score_above_rare_ones(spark, monkeypatch):
     rows = [(i, " ".join(["the of and a"] * 5 + [f"common{i % 5}", f"rare{i}"])) for i in range(100)] + [(1000, "common1"), (1001, "rare1")]
     got = {r.doc_id: r.log_prob for r in S.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1000] > got[1001] + 1
+
+
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(1 + i % 23))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts, vocabulary, least = S.counted(docs)
+    seen, turns, plain = [], [], S.train
+    monkeypatch.setattr(S.Network, "learn", lambda self, near, cls, rate: seen.extend(cls.tolist()))
+    monkeypatch.setattr(S, "train", lambda *a: turns.append(a[3:]) or plain(*a))
+    batches = S.encoded(docs, counts, vocabulary, least).select("n", "number", "level").toArrow().to_batches()
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            list(f(iter(batches)))
+            return spark.createDataFrame([], S.WEIGHTS)
+
+    S.fit(Frame(), vocabulary)
+    want = Counter()
+    for w, n in Counter(w for _, t in rows for w in t.split()).items():
+        want[int(vocabulary.cls[np.searchsorted(vocabulary.hashed, W.word_list(w)[0])])] += n
+    assert Counter(seen) == want and len(turns) == S.ROUNDS

@@ -12,9 +12,9 @@ What is learned comes from the whole corpus. Words are counted over all document
 each task before the shuffle). Known words, which have an embedding each, are the commonest ones, about
 ``GROWTH`` times the root of the number of tokens, and the tail is hashed to a quarter as many. Texts are then encoded once,
 by slices: a slice asks for the counts of its tail words block by block of their hashes, as no task holds all counts.
-Then each task trains on its own slices, every ``STRIDE``-th position of
-each in turn, starting from the same weights, and the weights are averaged, embeddings by how often a
-task met them and the others by its numbers of tokens; ``ROUNDS`` such rounds are made. Weights travel as pieces summed in two levels, so that
+Then each task trains on its own slices, starting from the same weights, and the weights are averaged, embeddings by how often a
+task met them and the others by its numbers of tokens. ``ROUNDS`` such rounds are made, each over every ``ROUNDS``-th
+position from another start, so that each word is a target once. Weights travel as pieces summed in two levels, so that
 no task and not the driver receives every task's weights.
 
 Defined results: null, empty and wordless texts have 0 tokens, score 0 and mean null; repeated rows
@@ -37,7 +37,7 @@ from .shared import stash
 VOCABULARY, CLASSES, OTHER = 4096, 96, 64  # the first and last at least
 GROWTH = 8
 REACH, WIDTH, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH, RATE, CLIP = 8, 2, 2048, 2.0, 5.0
+ROUNDS, BATCH, RATE, CLIP = 2, 2048, 2.0, 5.0
 PIECE, SALTS = 1 << 14, 64
 BLOCKS, ASKED = 32, 4_000_000  # blocks of word hashes at least, and rows of counts a block
 
@@ -237,11 +237,11 @@ def read(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[
 WEIGHTS = "piece int, part int, at binary, met binary, weights binary"
 
 
-def train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, flat: np.ndarray | None, turn: int, rate: float) -> Iterator[pa.RecordBatch]:
+def train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, flat: np.ndarray | None, turn: int, rounds: int, rate: float) -> Iterator[pa.RecordBatch]:
     net = Network(vocabulary.inputs, vocabulary.prior, flat)
     seen = 0
     for _, _, number, doc, cls, _ in read(batches, vocabulary):
-        at = np.arange(turn % STRIDE, len(number), STRIDE)
+        at = np.arange(turn, len(number), rounds)
         at = at[np.argsort(W.mix(number[at].astype(np.uint64) * W.ROLL + at.astype(np.uint64)), kind="stable")]  # not text by text
         for i in range(0, len(at), BATCH):
             some = at[i : i + BATCH]
@@ -317,7 +317,7 @@ def fit(slices: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
     text, flat = slices.select("n", "number", "level"), None
     for turn in range(rounds):
         start = flat
-        learned = text.mapInArrow(lambda it, s=start, t=turn: train(it, vocabulary, s, t * 3, RATE / (1 + t)), WEIGHTS)
+        learned = text.mapInArrow(lambda it, s=start, t=turn: train(it, vocabulary, s, t, rounds, RATE / (1 + t)), WEIGHTS)
         first = learned.groupBy("piece", F.pmod("part", F.lit(SALTS)).alias("salt")).applyInArrow(added, WEIGHTS)
         rows = first.groupBy("piece").applyInArrow(added, WEIGHTS).collect()
         net = Network(vocabulary.inputs, vocabulary.prior, start)
