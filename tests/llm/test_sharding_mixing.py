@@ -99,3 +99,15 @@ def test_each_boundary_emits_once(spark):
 
 def test_empty_mix(spark):
     assert M.mixture(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(("n", "copies"), [(300, 2), (2400, 5), (24_000, 200)])
+def test_groups_that_fit_into_a_shard_stay_whole(spark, n, copies):
+    rows = [(i, f"text {i // copies}", "s", "z", 1) for i in range(n)]
+    got = S.assign(spark.createDataFrame(rows, SCHEMA), 24).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.doc_id // copies].add(r.shard)
+    assert len(got) == n and all(len(s) == 1 for s in shards.values())
+    count = [sum(r.shard == k for r in got) for k in range(24)]
+    assert max(count) - min(count) <= max(2 * copies, n // 24 // 4)

@@ -1,10 +1,10 @@
 """Shards by vector bin packing: bytes, tokens and rows are balanced together.
 
 Equal texts form a group. Groups are packed as units: a group that holds more than
-1 / (shards * FINE) of all bytes, tokens or rows is a unit by itself, and one that holds a
-multiple of that is split into as many pieces by a hash of the doc_id; all smaller
+1 / (shards * FINE) of all bytes, tokens or rows is a unit by itself, and only one that holds more than
+1 / PART of a shard's share of one is split, into pieces of about that size by a hash of the doc_id; all smaller
 groups are bundled by a hash of the text into shards * BUNDLES units. So the units are
-bounded in number (BUNDLES * shards + 2 * 3 * FINE * shards) whatever the input,
+bounded in number (BUNDLES * shards + 3 * (FINE + 2 * PART) * shards) whatever the input,
 and are packed on the driver: largest first, each into the shard where the dot product of
 its vector with the residual capacities is highest among those it fits (else of all).
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import stash
 
-SHARDS, BUNDLES, FINE = 24, 256, 64
+SHARDS, BUNDLES, FINE, PART = 24, 256, 64, 4
 RECORD = 8  # bytes of a record besides its text
 
 
@@ -76,7 +76,7 @@ def planned(base: DataFrame, shards: int) -> tuple[Callable[[DataFrame], DataFra
     total = base.agg(*sums).first()
     part = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1)) / (shards * FINE)) for c in ("size", "tokens", "n")])
     # At most 3 * FINE * shards groups can be heavy: each holds that part of one of three totals.
-    heavy = base.groupBy("_key").agg(*sums).withColumn("_pieces", F.ceil(part).cast("int")).where("_pieces > 1").select("_key", "_pieces")
+    heavy = base.groupBy("_key").agg(*sums).where(part > 1).withColumn("_pieces", F.ceil(part * PART / FINE).cast("int")).select("_key", "_pieces")
     heavy = spark.createDataFrame([tuple(r) for r in heavy.collect()], "_key string, _pieces int")
 
     def in_units(rows: DataFrame) -> DataFrame:
