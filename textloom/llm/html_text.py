@@ -6,12 +6,12 @@ notices, adverts, forms and reader comments are furniture; blocks in an ``articl
 
 Open blocks are decided by what a host's pages repeat. The token streams of pages, without content blocks, are
 concatenated and their suffixes sorted (by prefix doubling over ranks, to a depth of ``RUN`` tokens, all
-that a run of that length needs); neighbours in that order that share ``RUN`` tokens on distinct pages
-of a host are a repeated run, and a longer repeated substring is a chain of those. Each task sorts the suffixes
-of slices of pages as it reads them, keeping one row for each distinct run; rows of equal
-(host, run) from all tasks are then merged, so runs that repeat across tasks are found too and no host's pages
-meet in one task. An open block with more than half of its tokens in repeated runs
-is boilerplate; all other blocks are kept whole. Pages with equal streams count as one, so a mirrored
+that a run of that length needs); neighbours in that order that share ``RUN`` tokens are one run, and a longer
+substring is a chain of those. A run is repeated if at least ``LEAST`` distinct pages of the host and ``SHARE`` of them hold it. Each task sorts the suffixes
+of slices of pages as it reads them, keeping one row for each distinct run of a page; rows of equal
+(host, run) from all tasks are then counted, so runs that repeat across tasks are found too and no host's pages
+meet in one task. Tokens of open blocks in repeated runs are boilerplate and go with what stands between them;
+the rest of a block is kept. Pages with equal streams count as one, so a mirrored
 page is not boilerplate of itself.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own kind;
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import stash
 
-RUN = 8
+RUN, LEAST, SHARE = 8, 3, 0.25
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 MARKED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements that don't interrupt a block.
@@ -156,19 +156,31 @@ class Parsed:
         return int.from_bytes(hashlib.blake2b("\n".join(t for _, t in self.blocks).encode(), digest_size=8).digest(), "little")
 
     def text(self, repeated: np.ndarray | None = None) -> str:
-        """The page's text; of open blocks those without a majority of tokens in ``repeated`` runs."""
+        """The page's text; of open blocks what isn't in ``repeated`` runs."""
         if self.has_content:
             return "\n".join(t for r, t in self.blocks if r == KEPT)
-        boiler: set[int] = set()
+        left = dict(enumerate(t for _, t in self.blocks))
         if repeated is not None and len(repeated):
             stream = Stream([self])
             covered = np.zeros(len(stream.tokens), bool)
             for i in stream.whole[np.isin(stream.runs, repeated)]:
                 covered[i : i + RUN] = True
-            n = len(self.free)
-            every, hit = np.bincount(stream.block, minlength=n), np.bincount(stream.block, weights=covered, minlength=n)
-            boiler = {self.free[i] for i in range(n) if every[i] and 2 * hit[i] > every[i]}
-        return "\n".join(t for i, (r, t) in enumerate(self.blocks) if r == OPEN and i not in boiler)
+            for k in np.unique(stream.block[covered]):
+                left[self.free[k]] = without(left[self.free[k]], covered[stream.block == k])
+        return "\n".join(left[i] for i, (r, _) in enumerate(self.blocks) if r == OPEN and left[i])
+
+
+def without(text: str, covered: np.ndarray) -> str:
+    """``text`` without its ``covered`` words and what follows them up to the next word."""
+    data = text.encode()
+    start = W.runs(np.frombuffer(data, np.uint8), np.array([0, len(data)]), W.WORD, W.TABLE_LOWER)[2]
+    ends = np.r_[start[1:], len(data)]
+    start = np.r_[0, start[1:]] if covered[0] else start
+    kept, at = [], 0
+    for i in np.flatnonzero(covered):
+        kept.append(data[at : start[i]])
+        at = ends[i]
+    return " ".join(b" ".join(x for x in [*kept, data[at:]] if x).decode().split())
 
 
 class Stream:
@@ -204,18 +216,19 @@ class Stream:
 
 
 def found_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, lo, hi): each distinct run of a slice of pages with the least and greatest key of the pages that hold it."""
+    """(host, run, page): each distinct run of the pages of a slice with the page's key; a null run for the page itself."""
     for batch in batches:
         for part in W.slices(batch, "html"):
             pages = [Parsed(u, h) for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)]
             stream = Stream(pages)
             order, rank = stream.suffixes()
-            if not len(order):
-                continue
-            key = np.array([p.key() for p in pages], np.uint64).view(np.int64)[stream.page[stream.whole]][order]
-            rank = rank[order]
-            head = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(stream.runs[order][head].view(np.int64)), pa.array(np.minimum.reduceat(key, head)), pa.array(np.maximum.reduceat(key, head))], names=["run", "lo", "hi"])
+            keys, page = np.array([p.key() for p in pages], np.uint64).view(np.int64), stream.page[stream.whole]
+            order = order[np.lexsort((keys[page[order]], rank[order]))]
+            rank, key = rank[order], keys[page[order]]
+            order = order[np.r_[True, (rank[1:] != rank[:-1]) | (key[1:] != key[:-1])]] if len(order) else order
+            host = stream.host.view(np.int64)
+            run = pa.concat_arrays([pa.array(stream.runs[order].view(np.int64)), pa.nulls(len(pages), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[host[page[order]], host]), run, pa.array(np.r_[keys[page[order]], keys])], names=["host", "run", "page"])
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +259,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     closed = first.where("text is not null").select("page_id", "url", "text")
     left = stash(first.where("text is null").select("page_id", "url", "html", "runs", F.xxhash64("page_id", "url", "html").alias("row")))
     out = closed
-    runs = own.select("url", "html").mapInArrow(found_runs, "run bigint, lo bigint, hi bigint")
-    repeated = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("run")
+    runs = own.select("url", "html").mapInArrow(found_runs, "host bigint, run bigint, page bigint")
+    count = stash(runs.distinct().groupBy("host", "run").agg(F.count("*").alias("n")).where(f"run is null or n >= {LEAST}"))
+    whole = count.where("run is null").select("host", F.col("n").alias("pages"))
+    repeated = count.where("run is not null").join(whole, "host").where(F.col("n") >= F.col("pages") * SHARE).select("run")
     held = left.select("row", F.explode("runs").alias("run")).distinct().join(repeated, "run").groupBy("row").agg(F.collect_set("run").alias("runs"))
     opened = left.drop("runs").join(held, "row", "left").select("page_id", "url", "html", "runs")
     out = out.unionByName(opened.mapInArrow(decided, f"page_id {kind}, url string, text string"))
