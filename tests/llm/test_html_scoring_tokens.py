@@ -16,14 +16,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside>Side</aside><form><p>Mail</p></form><footer>&copy; us</footer></body></html>"""
 
 
+def structured(page):
+    return H.assembled(H.blocks(page or ""), {})
+
+
 def test_structure():
-    assert H.Parsed("http://a.b/c", PAGE).text() == "Head & line\nOne bold word here\nTwo <x> é more"
-    assert H.Parsed(None, None).text() == ""
-    assert H.Parsed(None, "plain <text").text() == "plain <text"
-    assert H.Parsed(None, "<article><p>a<script>x").text() == "a"
-    assert H.Parsed(None, "<article><p>a<!-- b </p> --><p>c").text() == "a\nc"
-    assert H.Parsed(None, '<article class="post ad-free"><p>a</article><article class="comment"><p>b').text() == "a"
-    assert H.host("https://User@Www.Example.org:80/x") == "www.example.org"
+    assert structured(PAGE) == "Head & line\nOne bold word here\nTwo <x> é more"
+    assert structured(None) == ""
+    assert structured("plain <text") == "plain <text"
+    assert structured("<article><p>a<script>x") == "a"
+    assert structured("<article><p>a<!-- b </p> --><p>c") == "a\nc"
+    assert structured('<article class="post ad-free"><p>a</article><article class="comment"><p>b') == "a"
 
 
 def open_pages():
@@ -50,8 +53,8 @@ def test_repeated_runs_go_and_unique_ones_stay(spark):
 
 
 def test_suffixes_are_sorted_to_depth():
-    pages = [H.Parsed("http://a.b", f"<p>{t}</p>") for t in ("a b c d e f g h i", "a b c d e f g h x", "z a b c d e f g h")]
-    stream = H.Stream(pages)
+    pages = [H.blocks(f"<p>{t}</p>") for t in ("a b c d e f g h i", "a b c d e f g h x", "z a b c d e f g h")]
+    stream = H.Stream(pages, np.zeros(3))
     order, rank = stream.suffixes()
     keys = [tuple(stream.tokens[i : i + H.RUN].tolist()) for i in stream.whole[order]]
     assert len(order) == 6 and len(set(keys)) == 4
