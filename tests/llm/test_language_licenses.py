@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from textloom.llm import language as L
@@ -44,6 +45,45 @@ def test_far_texts_are_rejected_and_columns_stay(spark):
     assert len(ids) == 400 and 2000 not in ids and 2001 not in ids
 
 
+UNLEARNED = [
+    "La ragione per cui questo paese ha bisogno di una nuova legge sulla scuola è molto semplice: i ragazzi non leggono più, e gli insegnanti sono stanchi di combattere contro un sistema che non li ascolta",
+    "Türkiye'nin en büyük şehri olan İstanbul, iki kıtayı birbirine bağlayan boğazın kıyısında kurulmuştur ve her yıl milyonlarca turist tarafından ziyaret edilmektedir",
+    "Suomen pääkaupunki on Helsinki, joka sijaitsee maan etelärannikolla. Kaupungissa asuu yli kuusisataatuhatta ihmistä ja se on maan suurin kaupunki",
+    "Warszawa jest stolicą Polski i największym miastem kraju. Leży nad Wisłą w centralnej części Niziny Środkowomazowieckiej",
+    "xkcd qwrt zzxv bnmp lkjh gfds qqpw trwq xzcv bnml kjhg fdsq plmk jnhb vgfc xdrz sewq plok mijn uhbv",
+]
+
+
+def test_languages_never_learned_are_rejected_in_latin_script_too(spark):
+    rows = texts(1600, 3) + [(5000 + i, t, None) for i, t in enumerate(UNLEARNED)]
+    got = {r.doc_id: r.rejected for r in L.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[5000 + i] for i in range(len(UNLEARNED)))
+    assert sum(got[i] for i, _, _ in rows[:1600]) <= 2
+
+
+def test_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "stash", lambda df: seen.append(df.count()) or df)
+    rows = texts(300, 8)
+    L.fit(spark.createDataFrame(rows + [(1, f"the and of ing {i}", "en") for i in range(900)], "doc_id long, text string, lang string"), sample=20)
+    assert seen and all(n <= 20 * len(PARTS) for n in seen)
+
+
+def test_reach_grows_with_length():
+    at, median, low = L.reach(np.repeat([0.3, 0.6, 0.9], 20), np.repeat([50, 150, 600], 20))
+    assert list(median) == [0.3, 0.6, 0.9] and low == pytest.approx(L.SLACK) and list(at.round(1)) == [5.6, 7.2, 9.2]
+
+
+def test_very_long_and_repeated_texts_and_other_columns(spark):
+    rows = [(*r, "x", 1.5) for r in texts(200, 4)]
+    rows += [(900, rows[0][1] * 3000, None, "x", 1.5), (901, "", None, "x", 1.5), rows[3], rows[3]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = L.languages(d).collect()
+    assert len(got) == len(rows) and len({r.lang_pred for r in got if r.doc_id == rows[3][0]}) == 1
+    assert next(r.lang_pred for r in got if r.doc_id == 900) == rows[0][2]
+    assert L.accepted(d).columns == d.columns
+
+
 def test_nothing_learned_and_empty(spark):
     d = spark.createDataFrame([(1, "hello there", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in L.languages(d).collect()] == [("und", 0.0)]
