@@ -7,7 +7,7 @@ text gets the language of the centroid with the highest cosine, its score. It is
 cosine distance to that centroid is beyond the language's reach. Short texts lie farther from any
 centroid than long ones, so reach goes by the number of distinct n-grams: sample rows that had no part in the clustering give the
 median score at each length, and texts are rejected under ``SLACK`` times the ``QUANTILE`` quantile of
-those rows' scores, each as a part of the median at its length. Texts shorter than the sample has are never too far.
+those rows' scores, each as a part of the median at its length. For texts shorter than the sample has, the median is carried on.
 
 Fitting takes at most ``SAMPLE`` rows a language, distinct doc_ids of the least hash, of the ``LANGS`` commonest languages.
 Rows are first thinned by a bound on that hash, from an estimate of the language's distinct doc_ids, so that no task gathers more than
@@ -153,7 +153,8 @@ class Model:
         self.centroids = np.array([x for r in rows for x in r.centroids], np.float32).reshape(-1, DIM)
         # The least score that is near enough, by language and log2 of distinct n-grams in sixteenths.
         steps = np.arange(16 * 13) / 16
-        self.low = np.array([np.where(steps >= int(r.at[0]), r.low * np.interp(steps, r.at, r.median), 0) if r.at else 0 * steps for r in rows for _ in r.centroids])
+        # Of shorter texts than the sample has, the median falls with the root of their n-grams.
+        self.low = np.array([r.low * np.interp(steps, r.at, r.median) * 2 ** (np.minimum(steps - r.at[0], 0) / 2) if r.at else 0 * steps for r in rows for _ in r.centroids])
 
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
