@@ -34,7 +34,7 @@ from . import words as W
 from .shared import stash
 
 DIM, SAMPLE, CENTROIDS, ROUNDS, LANGS = 4096, 1000, 4, 12, 512
-QUANTILE, SLACK = 0.01, 0.36
+QUANTILE, SLACK = 0.01, 0.45
 #: Rows that a centroid, and a length at which scores are known, stand for at least; of so many sample rows one is kept for the reach.
 FEW, KEPT = 5, 4
 ROWS = 1024  # texts held as dense vectors at a time
