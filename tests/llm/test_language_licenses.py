@@ -98,11 +98,12 @@ def plain_base(text):
 
 
 def plain_labels(text):
-    w, step = words(text), X.SPAN // 2
-    out = set()
-    for b in range(0, len(w), step):
-        block = set(w[b : b + X.SPAN])
-        out |= {label for label, t in X.TEMPLATES if len(set(t.split()) & block) >= X.THRESHOLD * len(set(t.split())) - 1e-9}
+    w, out = words(text), set()
+    for label, t in X.TEMPLATES:
+        t, span = words(t), X.span_of(len(words(t)))
+        assert span >= max(64, 2 * len(t)) and span < max(65, 4 * len(t))
+        if any(len(set(t) & set(w[b : b + span])) >= X.THRESHOLD * len(set(t)) - 1e-9 for b in range(0, len(w), span // 2)):
+            out.add(label)
     return out
 
 
@@ -114,7 +115,7 @@ def license_texts():
         w = [rng.choice(v) for _ in range(rng.choice((0, 3, 40, 200)))]
         for _ in range(rng.randrange(3)):
             notice = rng.choice([*X.PHRASES, *(t for _, t in X.TEMPLATES)]).split()
-            if rng.random() < 0.4:
+            for _ in range(rng.choice((0, 0, 1, len(notice) // 8, len(notice) // 3))):
                 notice.pop(rng.randrange(len(notice)))
             at = rng.randrange(len(w) + 1)
             w[at:at] = notice
@@ -139,6 +140,7 @@ def test_own_templates_and_empty(spark):
     got = X.licenses(d, phrases={}, templates=(("t", "a b c d"),), threshold=0.75)
     assert {r.doc_id: (r.labels, r.n_base) for r in got.collect()} == {1: ("t", 0), 2: ("", 0)}
     assert X.licenses(d.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        X.licenses(d, templates=(("t", " ".join(f"w{i}" for i in range(40))),))
+    long = " ".join(f"w{i}" for i in range(3000))
+    e = spark.createDataFrame([(1, f"a b {long} c d", "x"), (2, long[: len(long) // 2], "x")], "doc_id long, text string, labels string")
+    assert {r.doc_id: r.labels for r in X.licenses(e, templates=(("t", long),)).collect()} == {1: "t", 2: ""}
     assert len(W.word_list("a b")) == 2
