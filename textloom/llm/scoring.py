@@ -38,7 +38,7 @@ VOCABULARY, CLASSES, OTHER = 4096, 96, 64  # the first and last at least
 GROWTH = 8
 REACH, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE, CLIP = 2, 2048, 2.0, 5.0
-PIECE, SALTS = 1 << 14, 64
+PIECE = 1 << 14
 BLOCKS, ASKED = 32, 4_000_000  # blocks of word hashes at least, and rows of counts a block
 
 
@@ -315,10 +315,11 @@ def encoded(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, least: i
 def fit(slices: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray | None:
     """Weights of the network after training on encoded slices; none without a word."""
     text, flat = slices.select("n", "number", "level"), None
+    salts = max(1, int(text.rdd.getNumPartitions() ** 0.5))  # two levels of about as many rows each
     for turn in range(rounds):
         start = flat
         learned = text.mapInArrow(lambda it, s=start, t=turn: train(it, vocabulary, s, t, rounds, RATE / (1 + t)), WEIGHTS)
-        first = learned.groupBy("piece", F.pmod("part", F.lit(SALTS)).alias("salt")).applyInArrow(added, WEIGHTS)
+        first = learned.groupBy("piece", F.pmod("part", F.lit(salts)).alias("salt")).applyInArrow(added, WEIGHTS)
         rows = first.groupBy("piece").applyInArrow(added, WEIGHTS).collect()
         net = Network(vocabulary.inputs, vocabulary.prior, start)
         for r in rows:
