@@ -144,3 +144,21 @@ def test_ids_come_back_and_empty(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, 1, 2]
     assert [list(r.ids) for r in got] == [T.tokenizer(path).encode(t, add_special_tokens=False).ids + [2] for t in ("z", "a", "b c")]
     assert T.round_trip(d.where("false"), path).count() == 0
+
+
+def test_files_are_parted_by_ids_and_rows_of_one_id_are_split(spark, tmp_path, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(T, "FILE_IDS", 40)
+    monkeypatch.setattr(T, "BLOCK_IDS", 15)
+    monkeypatch.setattr(T, "GROUP", 3)
+    rows = [(i % 50 if i % 3 else 7, f"text number {i} of some" if i % 2 else "the same text in each of these rows", 1, "x") for i in range(300)] + [(None, "none", 0, "")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, file int, block string").repartition(6)
+    T.write(d, path, f"file://{tmp_path}/x")
+    stored = spark.read.schema(T.BLOCKS).parquet(f"file://{tmp_path}/x/blocks").collect()
+    assert len({r.file for r in stored}) > 20 and sum(7 in r.doc_ids for r in stored) > 5
+    got = sorted(T.read(spark, f"file://{tmp_path}/x", with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    assert [r.start for r in got] == np.r_[0, np.cumsum([r.n_tokens for r in got])][:-1].tolist()
+    encode = lambda t: T.tokenizer(path).encode(t, add_special_tokens=False).ids + [2]
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(r[0]), encode(r[1])) for r in rows)

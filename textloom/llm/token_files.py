@@ -9,7 +9,8 @@ of its own. A file is a Parquet table of blocks
     file, block, doc_ids, counts (ids of each document), control, data
 
 with documents in ascending order of doc_id (null first; rows that repeat a doc_id by their texts' hash)
-over all files and blocks, beside ``ranks``, the ids by rank. ``read`` decodes blocks with a table of
+over all files and blocks, beside ``ranks``, the ids by rank. Files hold about ``FILE_IDS`` ids, however many that makes; which
+document goes to which comes from a sample of (doc_id, hash, row), so not even rows that repeat an id must meet in one file. ``read`` decodes blocks with a table of
 the lengths that each control byte stands for.
 
 Texts are cut at white space, which this kind of tokenizer drops before it splits words, and before punctuation
@@ -39,8 +40,12 @@ from . import words as W
 from .shared import shared_dir, stash
 
 END = 2
-#: Distinct pieces that a worker remembers, ids in a block, documents in a file, files at most.
-REMEMBERED, BLOCK_IDS, FILE_DOCS, FILES = 2_000_000, 1 << 20, 4_000, 4096
+#: Distinct pieces that a worker remembers, ids in a block, ids in a file.
+REMEMBERED, BLOCK_IDS, FILE_IDS = 2_000_000, 1 << 20, 8 << 20
+#: Rows sampled for the bounds of files: for each file, and at most.
+SAMPLED, SAMPLE = 200, 1_000_000
+#: Files in a group, by which positions are summed.
+GROUP = 1024
 #: Byte lengths of the four numbers under each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 BLOCKS = "file int, block int, doc_ids array<bigint>, counts array<bigint>, control binary, data binary"
@@ -219,13 +224,24 @@ def decode(control: np.ndarray, data: np.ndarray, count: np.ndarray) -> np.ndarr
     return out
 
 
+def order_of(doc_id: np.ndarray, xx: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of rows that sort in the order of files."""
+    out = np.empty(len(doc_id), "i8,i8,i8")
+    out["f0"], out["f1"], out["f2"] = doc_id, xx, at
+    return out
+
+
 def encode(batches: Iterator[pa.RecordBatch], width: str, rank: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part in parts_of(batches, BLOCK_IDS):
         count = part.column("n").to_numpy(zero_copy_only=False)
         control, c, data, d = code(rank[flat_ids(part.column("ids"), width)], count)
         doc_id = part.column("doc_id")
-        file = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(file), doc_id, part.column("xx"), part.column("n"), binaries(control, c), binaries(data, d)], names=["file", "doc_id", "xx", "n", "control", "data"])
+        key = order_of(doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), part.column("xx").to_numpy(), part.column("at").to_numpy())
+        # The number of bounds at or below each row's key.
+        both = np.argsort(np.concatenate([bounds, key]), kind="stable")
+        file = np.empty(len(both), np.int32)
+        file[both] = np.cumsum(both < len(bounds))
+        yield pa.RecordBatch.from_arrays([pa.array(file[len(bounds) :]), doc_id, part.column("xx"), part.column("n"), binaries(control, c), binaries(data, d)], names=["file", "doc_id", "xx", "n", "control", "data"])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -263,11 +279,16 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, by_pieces: bool = True
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     spark.createDataFrame([(order,)], "ids array<bigint>").coalesce(1).write.parquet(f"{out}/ranks")
-    parts = min(FILES, ids.count() // FILE_DOCS + 1)
-    bounds = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    bounds = np.unique(np.array(bounds or [], np.int64))
-    coded = ids.mapInArrow(lambda it: encode(it, width, rank, bounds), "file int, doc_id bigint, xx bigint, n bigint, control binary, data binary")
-    ordered = coded.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", "doc_id", "xx")
+    tokens, n = ids.agg(F.sum("n"), F.count("*")).first()
+    parts = max(1, (tokens or 0) // FILE_IDS)
+    keys = ids.withColumn("at", F.monotonically_increasing_id())
+    wanted = min(SAMPLE, SAMPLED * parts)
+    # At most about SAMPLE rows of three numbers.
+    some = keys.select(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min).cast("long")).alias("doc_id"), "xx", "at").where(F.rand(5) < wanted / max(n, 1)).toArrow() if parts > 1 else None
+    bounds = order_of(*(some.column(c).to_numpy() for c in ("doc_id", "xx", "at"))) if some is not None else order_of(*np.zeros((3, 0), np.int64))
+    bounds = np.unique(np.sort(bounds)[(np.arange(1, parts) * len(bounds)) // parts]) if len(bounds) else bounds
+    coded = keys.mapInArrow(lambda it: encode(it, width, rank, bounds), "file int, doc_id bigint, xx bigint, n bigint, control binary, data binary")
+    ordered = coded.repartitionById(len(bounds) + 1, "file").sortWithinPartitions("doc_id", "xx")
     ordered.mapInArrow(lambda it: blocks(it, BLOCK_IDS), BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
 
 
@@ -297,9 +318,15 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     stored = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     schema = "file int, block int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     found = stored.mapInArrow(lambda it: read_blocks(it, ids, with_ids), schema)
-    # A row for each block of a million ids.
-    sizes = stored.select("file", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    before = sizes.select("file", "block", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # Ids before a block: in its file, in the files of its group, in the groups before; one row for each, no task sees more than a file's, group's or all groups' rows.
+    sizes = stash(stored.select("file", "block", (F.col("file") / GROUP).cast("int").alias("group"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")))
+    up_to = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = sizes.groupBy("group", "file").agg(F.sum("n").alias("n"))
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("n"))
+    in_file = sizes.select("group", "file", "block", up_to("group", "file", "block").alias("a"))
+    in_group = files.select("group", "file", up_to("group", "file").alias("b"))
+    before = in_file.join(in_group, ["group", "file"]).join(groups.select("group", up_to("group").alias("c")), "group")
+    before = before.select("file", "block", (F.col("a") + F.col("b") + F.col("c")).alias("before"))
     return found.join(before, ["file", "block"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
