@@ -46,8 +46,7 @@ def test_hits_match_a_plain_search(spark):
 def test_blocks_of_items_give_the_same(spark):
     docs, items = fixture()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    index, ids = D.search(D.build_index(d), b, block=60)
-    rows = index.mapInArrow(lambda it: D.report_segments(it, [str(x) for x in ids]), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long, items array<string>").collect()
+    rows = D.contamination(d, b, block=60).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in rows) == sorted((i, *plain(t, items)) for i, t in docs)
 
 
@@ -65,6 +64,47 @@ def test_clean_keeps_rows_and_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in docs if not plain(t, items)[1])
 
 
+def plain_near(text, items, near):
+    """Items of which some window has a place of its first word with all its other words near."""
+    w, out = words(text), set()
+    for item, t in items:
+        v = words(t)
+        k = min(10, len(v))
+        for i in range(len(v) - k + 1 if k else 0):
+            if any(w[p] == v[i] and set(v[i : i + k]) <= set(w[max(0, p - near) : p + near + 1]) for p in range(len(w))):
+                out.add(str(item))
+    return sorted(out)
+
+
+def test_proximity_matches_a_plain_search(spark):
+    rng = random.Random(6)
+    v = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(v) for _ in range(rng.choice((1, 2, 4, 7, 12))))) for i in range(12)]
+    docs = [(j, " ".join(rng.choice(v) for _ in range(rng.choice((5, 60, 200))))) for j in range(25)]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), near=6).collect()
+    want = {i: plain_near(t, items, 6) for i, t in docs}
+    assert {r.doc_id: r.near_items for r in got} == want and len({len(x) for x in want.values()}) > 3
+    assert all(r.n_near_items == len(r.near_items) for r in got)
+
+
+def test_common_words_are_taken_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(D, "PLACES", 50)
+    docs, items = fixture()
+    docs = [*docs, (900, "the of a " * 300), (901, "w1 " * 4000)]
+    items = [*items, (50, "the of a the of a the of a the of a"), (51, "w1 w1")]
+    rows = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in rows) == sorted((i, *plain(t, items)) for i, t in docs)
+
+
+def test_clean_in_blocks_with_clashing_names(spark):
+    docs, items = fixture()
+    d = spark.createDataFrame([(i, t, True, 1, "x", 2) for i, t in docs], "doc_id long, text string, _hit boolean, segment int, hits string, starts int")
+    kept = D.clean(d, spark.createDataFrame(items, "item_id long, text string"), block=60)
+    assert kept.columns == d.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in docs if not plain(t, items)[1])
+    assert D.contamination(d, spark.createDataFrame(items, "item_id long, text string")).count() == len(docs)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

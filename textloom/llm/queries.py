@@ -26,7 +26,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,14 @@ OP4_SQL = f"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS
 win AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM bw WHERE len(ws) > 0)),
 dg AS (SELECT r, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k)),
 hit AS (SELECT r, i, k, item_id FROM dg JOIN win USING (k, g)), pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
-it AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS xs FROM hit GROUP BY r)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(xs), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(xs, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN pos USING (r) LEFT JOIN it USING (r)"""
+it AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS xs FROM hit GROUP BY r),
+wi AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT item_id, list_distinct(list_slice(ws, i, i + k - 1)) AS ts, ws[i] AS w FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM bw WHERE len(ws) > 0))),
+tok AS (SELECT r, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS i FROM dw), tf AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+rare AS (SELECT id, arg_min(t, (coalesce(n, 0), t)) AS t FROM (SELECT id, unnest(ts) AS t FROM wi) LEFT JOIN tf USING (t) GROUP BY id),
+c AS (SELECT tok.r, item_id, ts, w, i, ws FROM tok JOIN rare USING (t) JOIN wi USING (id) JOIN dw ON dw.r = tok.r WHERE list_has_all(list_slice(ws, greatest(i - 40, 1), i + 40), ts)),
+a AS (SELECT r, item_id, ts, w, ws, unnest(range(greatest(i - 20, 1), least(i + 20, len(ws)) + 1)) AS p FROM c),
+nr AS (SELECT r, count(DISTINCT item_id) AS n FROM a WHERE ws[p] = w AND list_has_all(list_slice(ws, greatest(p - 20, 1), p + 20), ts) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(xs), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(xs, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(nr.n, 0) AS n_near_items FROM dw LEFT JOIN pos USING (r) LEFT JOIN it USING (r) LEFT JOIN nr USING (r)"""
 
 OP10_SQL = """WITH d AS (SELECT doc_id, source, CAST(len([w FOR w IN string_split_regex(coalesce(text, ''), '[ \\t-\\r]+') IF w <> '']) AS BIGINT) AS size, CAST('0x' || left(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '-')), 8) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
