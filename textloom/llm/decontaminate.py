@@ -99,7 +99,7 @@ def lookup(terms: np.ndarray, ends: np.ndarray, phrases: np.ndarray) -> tuple[np
     return at, begin, np.where(terms[at] == phrases, ends[at].astype(np.int64) - begin, 0)
 
 
-def intersect(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, phrases: np.ndarray, near: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def intersect(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, phrases: np.ndarray, near: int | None = None, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(phrase number, first position) of every exact match, or with ``near`` of every proximity match; part by part of the phrases."""
     at, begin, size = lookup(terms, ends, phrases)
     some = np.flatnonzero(size.min(1) > 0)
@@ -107,6 +107,13 @@ def intersect(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, phrases:
         return
     keys = np.repeat(np.arange(len(terms)), np.diff(np.r_[0, ends.astype(np.int64)])) * (1 << 32) + places  # sorted
     part = np.cumsum(size[some].min(1)) // PLACES
+
+    def around(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the places of a term near ``place``, in the same document, begin and end in ``keys``."""
+        doc = np.searchsorted(starts, place, "right")
+        first, last = np.maximum(place - near, starts[doc - 1].astype(np.int64)), np.minimum(place + near, starts[doc].astype(np.int64) - 1)
+        return np.searchsorted(keys, key + first), np.searchsorted(keys, key + last, "right")
+
     for live in np.split(some, np.flatnonzero(np.diff(part)) + 1):
         rank = np.argsort(size[live], axis=1, kind="stable")
         row = np.arange(len(live))
@@ -118,8 +125,7 @@ def intersect(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, phrases:
             who, place = who[place >= 0], place[place >= 0]
         else:
             # Places of the first term near those of the rarest.
-            key = at[live][who, 0] * (1 << 32)
-            low, high = np.searchsorted(keys, key + np.maximum(place - near, 0)), np.searchsorted(keys, key + place + near, "right")
+            low, high = around(at[live][who, 0] * (1 << 32), place)
             n = high - low
             both = np.c_[np.repeat(who, n), keys[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())] & 0xFFFFFFFF]
             who, place = np.unique(both, axis=0).T if len(both) else both.T
@@ -131,8 +137,8 @@ def intersect(terms: np.ndarray, ends: np.ndarray, places: np.ndarray, phrases:
                 found = np.minimum(np.searchsorted(keys, want), len(keys) - 1) if len(want) else np.zeros(0, np.int64)
                 ok = keys[found] == want if len(want) else np.zeros(0, bool)
             else:
-                low = np.searchsorted(keys, key + np.maximum(place - near, 0))
-                ok = low < np.searchsorted(keys, key + place + near, "right")
+                low, high = around(key, place)
+                ok = low < high
             who, place = who[ok], place[ok]
         yield live[who], place
 
@@ -154,7 +160,7 @@ def search_segments(batches: Iterator[pa.RecordBatch], phrases: Phrases, near: i
             items, close = ([np.zeros((0, 2), np.int64)] for _ in range(2))
             for k, windows, owner in phrases.groups:
                 for limit, out in ((None, items), (near, close)):
-                    for which, place in intersect(terms, ends, places, windows, limit):
+                    for which, place in intersect(terms, ends, places, windows, limit, starts):
                         doc = np.searchsorted(starts, place, "right") - 1
                         if limit is None:
                             for j in range(k):
@@ -255,6 +261,6 @@ def marked(batches: Iterator[pa.RecordBatch], phrases: Phrases, mark: str) -> It
             for found in index_segments([own]):
                 starts, terms, ends, places = segment(found, 0)
                 for _, windows, _ in phrases.groups:
-                    for _, place in intersect(terms, ends, places, windows, None):
+                    for _, place in intersect(terms, ends, places, windows):
                         hit[np.searchsorted(starts, place, "right") - 1] = True
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hit)], names=[*part.schema.names, mark])
