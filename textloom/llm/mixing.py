@@ -6,16 +6,18 @@ out anew by weight until none is above. That is water filling, solved in closed
 with sources ordered by cap / weight, the capped ones are a prefix of that order.
 
 Every document of a source is expected target / source size times. Its documents lie in the
-order (size class, salt, hash of doc_id); the expected copies are summed along it, one
+order (size class, hash of doc_id); the expected copies are summed along it, one
 random offset is added, and a document is emitted once for each integer boundary crossed. Since
 the order goes by size, the words taken follow the target closely. The running sum needs no task
-that holds a source: rows are counted by cell (source, size class, one of ``SALTS``
-salts; the class is the whole part of 16 fourth roots of the size), the counts of the cells, at most
-some 10^5 a source, are summed along the order, and rows are numbered inside their cells.
+that holds a source: rows are counted by cell (source, size class, range of hashes; the class is the whole part of 16 fourth roots of the
+size), the counts of the cells are summed along the order, and rows are numbered inside their cells. There are ``SALTS`` ranges of hashes for each ``ROWS`` rows,
+so cells don't grow with the table; how many there are changes no result.
 
-Defined results: null and empty texts have size 0 and take 0 words, but may be emitted;
+Words are counted once and kept beside doc_id and source; texts are read again only by ``mix``, which emits them.
+
+Defined results: null and empty texts have size 0 and take 0 words, but may be emitted; very long texts are as any other;
 a null source is a source; repeated rows are numbered each; the hash of the doc_id makes
-reruns agree; empty tables give no rows; ``mix`` carries extra columns.
+reruns agree; empty tables give no rows; ``mix`` carries all columns, whatever their names; ``copies`` replaces those it is named after.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stash
+
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2.0
-SALTS, SEED = 256, 7
+SALTS, ROWS, SEED = 256, 1 << 28, 7
 
 
 def n_words(text: Column) -> Column:
@@ -53,36 +57,49 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET,
     return w.select("source", "source_size", F.least(F.col("cap"), F.coalesce(first["level"] * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def copies(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source, others) with size, source_size, target and copies (int)."""
-    own = docs.drop("size", "source_size", "target", "copies", "taken")
-    sized = own.withColumn("size", n_words(F.col("text")).cast("long"))
-    cell = {
-        "_class": F.when(F.col("size") > 0, F.floor(F.sqrt(F.sqrt(F.col("size").cast("double"))) * 16)).otherwise(0).cast("int"),
-        "_hash": hashed(F.lit(seed), F.col("doc_id")),
-        "_name": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")),
-    }
-    sized = sized.withColumns(cell).withColumn("_salt", F.pmod(F.col("_hash"), F.lit(SALTS)).cast("int"))
-    cells = sized.groupBy("_name", "source", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
-    before = Window.partitionBy("_name").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    target = targets(cells.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, budget, most)
-    target = target.withColumn("_name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
-    start = cells.select("_name", "_class", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(target, "_name")
+#: Columns that ``copies`` adds.
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, "doc_id", "source", n_words(F.col("text")).cast("long").alias("size"))
+
+
+def counted(base: DataFrame, rows: DataFrame, weights: tuple, budget: float, most: float, seed: int) -> DataFrame:
+    """``rows`` (doc_id, source, size, others) with source_size, target and copies; ``base``: doc_id, source and size of the same rows."""
+    salts = SALTS * (1 + base.count() // ROWS)
+
+    def in_cells(df: DataFrame) -> DataFrame:
+        df = df.withColumns({"class": F.when(F.col("size") > 0, F.floor(F.sqrt(F.sqrt(F.col("size").cast("double"))) * 16)).otherwise(0).cast("int"), "hash": hashed(F.lit(seed), F.col("doc_id")), "name": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))})
+        return df.withColumn("salt", F.floor(F.col("hash") * salts / 2**32).cast("int"))
+
+    cells = in_cells(base).groupBy("name", "source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    before = Window.partitionBy("name").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    target = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, most)
+    target = target.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
+    start = cells.select("name", "class", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).join(target, "name")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = hashed(F.lit(seed), F.lit("offset"), F.col("_name")) / F.lit(2.0**32)
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_name", "_class", "_salt").orderBy("_hash", "doc_id", "size"))
-    up_to = lambda r: F.floor(F.col("_offset") + F.col("_rate") * r)
-    found = sized.join(start, ["_name", "_class", "_salt"]).withColumns({"_rate": rate, "_offset": offset, "_rank": rank})
-    found = found.withColumn("copies", F.least(F.lit(int(most)), up_to(F.col("_rank")) - up_to(F.col("_rank") - 1)).cast("int"))
-    return found.select(*own.columns, "size", "source_size", "target", "copies")
+    offset = hashed(F.lit(seed), F.lit("offset"), F.col("name")) / F.lit(2.0**32)
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("name", "class", "salt").orderBy("hash", "doc_id", "size"))
+    up_to = lambda r: F.floor(F.col("offset") + F.col("rate") * r)
+    found = in_cells(rows).join(start, ["name", "class", "salt"]).withColumns({"rate": rate, "offset": offset, "rank": rank})
+    return found.withColumn("copies", F.least(F.lit(int(most)), up_to(F.col("rank")) - up_to(F.col("rank") - 1)).cast("int"))
+
+
+def copies(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """``docs`` (doc_id, text, source, others) with size, source_size, target and copies (int), which replace columns of these names."""
+    rows = measured(docs, F.struct("*").alias("row"))
+    found = counted(stash(measured(docs)), rows, weights, budget, most, seed)
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
-def mixture(docs: DataFrame, **knobs) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``."""
-    return copies(docs.select("doc_id", "text", "source"), **knobs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    base = stash(measured(docs))
+    return counted(base, base, weights, budget, most, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, **knobs) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
-    some = copies(docs, **knobs).where("copies > 0")
-    return some.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    found = counted(stash(measured(docs)), measured(docs, F.struct("*").alias("row")), weights, budget, most, seed)
+    return found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -98,7 +98,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER
 w AS (SELECT *, CAST([3, 1, 2][(n - 1) % 3 + 1] AS DOUBLE) AS wt, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
 f AS (SELECT *, row_number() OVER o AS fr, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(wt) OVER () - coalesce(sum(wt) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev FROM w WINDOW o AS (ORDER BY source_size / wt, n)),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT min_by(lev, fr) FROM f WHERE lev * wt <= cap) * wt, cap)) AS target FROM f),
-r AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size > 0 THEN floor(sqrt(sqrt(size::DOUBLE)) * 16) ELSE 0 END, h % 256, h, doc_id, size) AS rk,
+r AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN size > 0 THEN floor(sqrt(sqrt(size::DOUBLE)) * 16) ELSE 0 END, h, doc_id, size) AS rk,
   CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, CAST('0x' || left(md5('7|offset|' || coalesce('s' || d.source, '')), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * least(2, floor(u + rate * rk) - floor(u + rate * (rk - 1))) AS BIGINT) AS taken FROM r"""
 
