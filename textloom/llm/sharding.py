@@ -10,11 +10,14 @@ its vector with the residual capacities is highest among those it fits (else of
 
 The law that holds is ``bytes``: shards' sizes are near equal (the pieces packed last
 are small). Slots count from 0 in each shard: a unit's rows are numbered among
-themselves and shifted by the rows of the units before it, so no shard's rows meet in one task.
+themselves and shifted by the rows of the units before it, so no shard's rows meet in one task; nor do a unit's, which are numbered by
+ranges of the doc_id's hash, one for each ``ROWS`` rows that a bundle has on average, and shifted by the rows of the ranges before.
+The plan has a row for each range of a unit.
 
 Defined results: a null text has no bytes and checksum 0 (that of no bytes) and all null
-texts are one group, as are all empty ones; repeated rows are placed each;
-extra columns are ignored by ``assign`` and carried by ``shard`` (names that begin with _size, _tokens, _crc, _key, _unit, _pieces, _shard, _before or _at are its own); an empty table gives no rows.
+texts are one group, as are all empty ones; repeated rows are placed each, those of one doc_id in one piece;
+a very long text may exceed a shard's share and then fills it; extra columns are ignored by ``assign`` and carried by ``shard``, which
+replaces those named size, text_crc32, shard and slot; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import stash
 
-SHARDS, BUNDLES, FINE, PART = 24, 256, 64, 4
+SHARDS, BUNDLES, FINE, PART, ROWS = 24, 256, 64, 4, 200_000
 RECORD = 8  # bytes of a record besides its text
 
 
@@ -56,53 +59,57 @@ def pack(units: list[tuple[str, int, int, int]], shards: int) -> list[tuple[str,
     return out
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size, _tokens, _crc and _key (of equal texts) added."""
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, size, tokens, crc and key (of equal texts) of ``docs``, and ``more``."""
     text = F.col("text")
-    return docs.withColumns(
-        {
-            "_size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD,
-            "_tokens": F.when(text.isNull(), 0).otherwise(n_tokens(text)).cast("long"),
-            "_crc": F.coalesce(F.crc32(text), F.lit(0)).cast("long"),
-            "_key": F.coalesce(F.md5(text), F.lit("")),
-        }
-    )
+    return docs.select(
+        *more, "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD).alias("size"), F.when(text.isNull(), 0).otherwise(n_tokens(text)).cast("long").alias("tokens"),
+        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"), F.coalesce(F.md5(text), F.lit("")).alias("key"),
+    )
 
 
 def planned(base: DataFrame, shards: int) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
-    """From measured rows: what adds _unit to measured rows, and the plan (_unit, _shard, _before)."""
+    """From measured rows: what adds unit and cell to measured rows, and the plan (unit, cell, shard, before)."""
     spark = base.sparkSession
-    sums = [F.sum("_size").alias("size"), F.sum("_tokens").alias("tokens"), F.count("*").alias("n")]
+    sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
     total = base.agg(*sums).first()
     part = F.greatest(*[F.col(c) / F.lit(float(max(total[c] or 0, 1)) / (shards * FINE)) for c in ("size", "tokens", "n")])
     # At most 3 * FINE * shards groups can be heavy: each holds that part of one of three totals.
-    heavy = base.groupBy("_key").agg(*sums).where(part > 1).withColumn("_pieces", F.ceil(part * PART / FINE).cast("int")).select("_key", "_pieces")
-    heavy = spark.createDataFrame([tuple(r) for r in heavy.collect()], "_key string, _pieces int")
+    heavy = base.groupBy("key").agg(*sums).where(part > 1).withColumn("pieces", F.ceil(part * PART / FINE).cast("int")).select("key", "pieces")
+    heavy = spark.createDataFrame([tuple(r) for r in heavy.collect()], "key string, pieces int")
+    cells = 1 + total["n"] // (shards * BUNDLES * ROWS)
 
     def in_units(rows: DataFrame) -> DataFrame:
-        light = F.concat(F.lit("b"), F.pmod(F.xxhash64("_key"), F.lit(shards * BUNDLES)))
-        return rows.join(F.broadcast(heavy), "_key", "left").withColumn("_unit", F.when(F.col("_pieces").isNull(), light).otherwise(F.concat("_key", F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.col("_pieces")))))
+        light = F.concat(F.lit("b"), F.pmod(F.xxhash64("key"), F.lit(shards * BUNDLES)))
+        unit = F.when(F.col("pieces").isNull(), light).otherwise(F.concat("key", F.lit("-"), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
+        rows = rows.join(F.broadcast(heavy), "key", "left").withColumns({"unit": unit, "hash": F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 32)})
+        return rows.withColumn("cell", F.floor(F.col("hash") * cells / 2**32).cast("int"))
 
-    plan = pack([tuple(r) for r in in_units(base).groupBy("_unit").agg(*sums).collect()], shards)
-    return in_units, spark.createDataFrame(plan, "_unit string, _shard int, _before long")
+    found = sorted(tuple(r) for r in in_units(base).groupBy("unit", "cell").agg(*sums).collect())
+    units: dict[str, list[int]] = {}
+    for unit, _, *need in found:
+        units[unit] = [a + b for a, b in zip(units.get(unit, [0, 0, 0]), need, strict=True)]
+    to = {unit: [shard, before] for unit, shard, before in pack([(unit, *need) for unit, need in units.items()], shards)}
+    plan = []
+    for unit, cell, _, _, n in found:
+        plan.append((unit, cell, *to[unit]))
+        to[unit][1] += n
+    return in_units, spark.createDataFrame(plan, "unit string, cell int, shard int, before long")
 
 
-def placed(rows: DataFrame, in_units: Callable[[DataFrame], DataFrame], plan: DataFrame, keep: list[str]) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("_unit").orderBy("_crc", "doc_id")) - 1
-    return (
-        in_units(rows).withColumn("_at", at).join(F.broadcast(plan), "_unit")
-        .select(*keep, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), (F.col("_before") + F.col("_at")).cast("long").alias("slot"))
-    )
+def placed(rows: DataFrame, in_units: Callable[[DataFrame], DataFrame], plan: DataFrame, *keep: Column) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("unit", "cell").orderBy("hash", "doc_id", "crc")) - 1
+    return in_units(rows).withColumn("at", at).join(F.broadcast(plan), ["unit", "cell"]).select(*keep, "size", F.col("crc").alias("text_crc32"), "shard", (F.col("before") + F.col("at")).cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` (doc_id, text, others) with size, text_crc32, shard and slot; columns of these names are replaced."""
-    in_units, plan = planned(stash(measured(docs.select("doc_id", "text")).drop("text")), shards)
-    own = docs.drop("size", "text_crc32", "shard", "slot")
-    return placed(measured(own), in_units, plan, own.columns)
+    in_units, plan = planned(stash(measured(docs)), shards)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    return placed(measured(docs, F.struct("*").alias("row")), in_units, plan, *own)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row of ``docs`` (doc_id, text)."""
-    base = stash(measured(docs.select("doc_id", "text")).drop("text"))
-    return placed(base, *planned(base, shards), ["doc_id"])
+    base = stash(measured(docs))
+    return placed(base, *planned(base, shards), F.col("doc_id"))
