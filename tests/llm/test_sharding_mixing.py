@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -111,3 +112,47 @@ def test_groups_that_fit_into_a_shard_stay_whole(spark, n, copies):
     assert len(got) == n and all(len(s) == 1 for s in shards.values())
     count = [sum(r.shard == k for r in got) for k in range(24)]
     assert max(count) - min(count) <= max(2 * copies, n // 24 // 4)
+
+
+def plain_pack(units, shards):
+    """Largest first, into the shard of the highest dot product with what is left, of those it fits."""
+    total = [sum(u[k] for u in units) or 1 for k in (1, 2, 3)]
+    vector = {u[0]: [shards * u[k + 1] / total[k] for k in range(3)] for u in units}
+    left, out = [[1.0] * 3 for _ in range(shards)], {}
+    for u in sorted(units, key=lambda u: (-max(vector[u[0]]), u[0])):
+        v = vector[u[0]]
+        fits = [s for s in range(shards) if all(a >= b - 1e-12 for a, b in zip(left[s], v, strict=True))] or range(shards)
+        best = max(fits, key=lambda s: (sum(a * b for a, b in zip(left[s], v, strict=True)), -s))
+        left[best] = [a - b for a, b in zip(left[best], v, strict=True)]
+        out[u[0]] = best
+    return out
+
+
+def test_packing_matches_a_plain_packer():
+    rng = random.Random(3)
+    for shards in (1, 3, 24):
+        units = [(f"u{i:03}", rng.randrange(1, 10_000), rng.randrange(1, 900), rng.randrange(1, 40)) for i in range(200)]
+        plan = S.pack(units, shards)
+        assert {u: s for u, s, _ in plan} == plain_pack(units, shards)
+        rows = defaultdict(int)
+        for u, s, before in plan:
+            assert before == rows[s]
+            rows[s] += next(x[3] for x in units if x[0] == u)
+
+
+@pytest.mark.parametrize("rows_a_cell", [1, 200_000])
+def test_slots_by_ranges_of_units(spark, monkeypatch, rows_a_cell):
+    monkeypatch.setattr(S, "ROWS", rows_a_cell)
+    monkeypatch.setattr(S, "BUNDLES", 8)
+    got = S.assign(spark.createDataFrame(docs(900), SCHEMA), 4).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == 1354 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_cells_change_no_result(spark, monkeypatch):
+    d = spark.createDataFrame(docs(2000), SCHEMA)
+    want = sorted(map(tuple, M.mixture(d).collect()), key=str)
+    monkeypatch.setattr(M, "ROWS", 100)
+    assert sorted(map(tuple, M.mixture(d).collect()), key=str) == want

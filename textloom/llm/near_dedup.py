@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
 def keep_one(docs: DataFrame, **knobs) -> DataFrame:
     """``docs`` with one row left of each class: the one of the least doc_id (of rows that repeat it, any one); null texts all stay."""
     found = near_duplicates(docs, **knobs)
-    first = found.where("label is not null").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", F.col("doc_id").alias("_id")).agg(F.min("xx").alias("_xx"))
-    own = docs.withColumns({"_own": F.xxhash64("text")})
-    kept = own.where("text is not null").join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_xx")))
-    return kept.dropDuplicates(["label"]).select(*docs.columns).unionByName(docs.where("text is null"))
+    first = found.where("label is not null").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", F.col("doc_id").alias("doc")).agg(F.min("xx").alias("xx"))
+    # Whole rows travel as one column, so their names clash with nothing.
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_xx"), F.col("text").isNull().alias("none"))
+    kept = own.where("not none").join(first, F.col("doc").eqNullSafe(F.col("_id")) & (F.col("xx") == F.col("_xx"))).dropDuplicates(["label"])
+    return kept.select("row.*").unionByName(docs.where("text is null"))

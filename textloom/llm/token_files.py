@@ -26,7 +26,6 @@ columns are ignored; an empty table gives files without rows.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import shared_dir, stash
+from .shared import fresh, stash
 
 END = 2
 #: Distinct pieces that a worker remembers, ids in a block, ids in a file.
@@ -333,6 +332,6 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write ``docs`` to files in the shared folder and read them back."""
     spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
+    out = fresh(spark)
     write(docs, tokenizer_path, out)
     return read(spark, out)
