@@ -89,11 +89,11 @@ def logs(seed):
     return [*out, "", "one", "a\na\na\na", "x\n\n\n\ny", "[× fake]\n[× fake]\n[× fake]\nabcd"]
 
 
-@pytest.mark.parametrize("query", [None, "put 3", "nothing matches", "("])
+@pytest.mark.parametrize("query", [None, "put 3", "nothing matches", "(", "(?P<x>a)"])
 def test_matches_line_by_line(spark, query):
     texts = logs(1)
     got = D.distill(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), query).collect()
-    assert {r.doc_id: r.distilled for r in got} == {i: plain(t, query if query != "(" else r"\(") for i, t in enumerate(texts)}
+    assert {r.doc_id: r.distilled for r in got} == {i: plain(t, {"(": r"\(", "(?P<x>a)": re.escape("(?P<x>a)")}.get(query, query)) for i, t in enumerate(texts)}
     for r in got:
         assert r.orig_lines == texts[r.doc_id].count("\n") + 1 and r.out_lines == r.distilled.count("\n") + 1
 

@@ -1,9 +1,9 @@
 """Every query with SQL against DuckDB, on the smallest tables."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +24,7 @@ def duck():
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, (int, float)) or hasattr(v, "__float__") and not isinstance(v, str) else v
+    plain = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else float(v) if isinstance(v, (int, float)) or hasattr(v, "__float__") and not isinstance(v, str) else v
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False)), key=str)
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def canonical(text: Column) -> Column:
     """Compact JSON with sorted keys and whole floats as integers; null if it doesn't parse."""
     return F.to_json(F.try_parse_json(text))

@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -32,7 +33,8 @@ def prepared(lines: DataFrame) -> DataFrame:
 def run_starts(rows: DataFrame) -> DataFrame:
     """doc_id, pos, k, r: the best block length and number of repetitions for a run that begins at pos."""
     by = Window.partitionBy("doc_id").orderBy("pos")
-    on = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the end on, so that each line's frame grows out of the next one's; a frame to the end would be gone through anew for each line.
+    on = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ks = range(1, MAX_CYCLE + 1)
     same = {f"e{k}": F.coalesce((F.lead("masked", k).over(by) == F.col("masked")) & ~F.lead("important", k).over(by), F.lit(False)) for k in ks}
     # Distances to the next line that breaks the run, and to the next important one.
@@ -129,13 +131,19 @@ def summed_up(told: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(gone > 0, F.concat(body, added)).otherwise(body).alias("lines"), "collapsed_runs", "important_kept", "suppressed", "template_suppressed")
 
 
+def searched(spark: SparkSession, query: str) -> str:
+    """``query`` as a pattern for any case; one that isn't a pattern where it will run stands for itself."""
+    pattern = f"(?i){query}"
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return "(?i)" + re.escape(query)
+    return pattern
+
+
 def sliced(rows: DataFrame, query: str, context: int = CONTEXT) -> DataFrame:
     """Lines (doc_id, pos, line, important) that match ``query`` (any case) or are important, with ``context`` lines around; gaps become one line that counts them."""
-    try:
-        re.compile(query)
-        pattern = f"(?i){query}"
-    except re.error:
-        pattern = "(?i)" + re.escape(query)
+    pattern = searched(rows.sparkSession, query)
     order = Window.partitionBy("doc_id").orderBy("pos")
     hit = (F.col("important") | F.col("line").rlike(pattern)).cast("int")
     near = rows.withColumn("hit", hit).withColumn("keep", F.max("hit").over(order.rowsBetween(-context, context)) == 1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.json import let
 
 # Fixed values of the results to match.
 MIN_ROWS, HEAD_ROWS, TAIL_ROWS, IMPORTANT_ROWS = 30, 10, 5, 40
@@ -23,15 +24,17 @@ def rows_of(text: Column) -> Column:
     """Canonical rows of a text that is a JSON array of two objects or more, or as many lines of objects; else null."""
     whole = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
     lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(f"^[{T.SPACE}\\uFEFF]*\\z"))
-    parsed = F.transform(lines, lambda x: F.try_parse_json(x))
     fit = lambda a: (F.size(a) >= 2) & F.forall(a, lambda v: F.coalesce(_is_object(v), F.lit(False)))
     shown = lambda a: F.when(fit(a), F.transform(a, lambda v: F.to_json(v)))
-    return F.when(whole.isNotNull(), shown(whole)).otherwise(shown(parsed))
+    # A text that begins otherwise is neither.
+    some = text.rlike(f"^[{T.SPACE}\\uFEFF]*[\\[{{]")
+    return F.when(some, let(whole, lambda a: F.when(a.isNotNull(), shown(a)).otherwise(let(F.transform(lines, lambda x: F.try_parse_json(x)), shown))))
 
 
-def parsed_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row_no (from 0), row, of texts that are row sets."""
-    return docs.select("doc_id", F.posexplode(rows_of(F.col("text"))).alias("row_no", "row"))
+def parsed_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, ``more``, row_no (from 0), row, of texts that are row sets."""
+    # The outer form keeps the optimizer from evaluating the rows once more in a filter.
+    return docs.select("doc_id", *more, F.posexplode_outer(rows_of(F.col("text"))).alias("row_no", "row")).where("row_no is not null")
 
 
 def crushed(docs: DataFrame) -> DataFrame:
@@ -54,14 +57,25 @@ def _quoted(name: Column) -> Column:
 
 
 def table_encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, text, rows, cols: row sets as a table of tab-separated cells under a line of column names, where that is shorter."""
-    sets = docs.select("doc_id", F.length("text").alias("before"), rows_of(F.col("text")).alias("rows")).where("rows is not null")
-    maps = F.transform("rows", lambda r: F.variant_get(F.parse_json(r), "$", "map<string,variant>"))
-    sets = sets.withColumn("maps", maps).withColumn("names", F.array_sort(F.array_distinct(F.flatten(F.transform("maps", lambda m: F.map_keys(m))))))
-    cells = F.transform("maps", lambda m: F.array_join(F.transform("names", lambda k: F.when(F.map_contains_key(m, k), F.coalesce(F.to_json(m[k]), F.lit("null"))).otherwise("")), "\t"))
-    head = F.concat(F.lit(COLUMNS + "\t"), F.array_join(F.transform("names", lambda k: _quoted(k)), "\t"))
-    out = sets.withColumn("text", F.concat(head, F.lit("\n"), F.array_join(cells, "\n")))
-    return out.where("size(names) > 0 and length(text) < before").select("doc_id", "text", F.size("rows").cast("long").alias("rows"), F.size("names").cast("long").alias("cols"))
+    """doc_id, text, rows, cols: row sets as a table of tab-separated cells under a line of column names, where that is shorter.
+
+    Each row is parsed once, before its document's rows are gathered; the work grows with the cells.
+    """
+    rows = parsed_rows(docs, F.length("text").alias("before"))
+    values = F.variant_get(F.parse_json("row"), "$", "map<string,variant>")
+    cells = F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+    sets = rows.withColumn("cells", cells).groupBy("doc_id").agg(F.max("before").alias("before"), F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("rows"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["key"])))))
+
+    def table(names: Column) -> Column:
+        line = lambda held: F.array_join(F.transform(names, lambda k: F.coalesce(F.element_at(held, k), F.lit(""))), "\t")
+        lines = F.transform("rows", lambda r: let(F.map_from_entries(r["cells"]), line))
+        head = F.concat(F.lit(COLUMNS + "\t"), F.array_join(F.transform(names, lambda k: _quoted(k)), "\t"))
+        text = F.concat(head, F.lit("\n"), F.array_join(lines, "\n"))
+        return F.struct(text.alias("text"), F.size("rows").cast("long").alias("rows"), F.size(names).cast("long").alias("cols"))
+
+    shorter = F.filter(F.array(let(names, table)), lambda t: (t["cols"] > 0) & (F.length(t["text"]) < F.col("before")))
+    return sets.select("doc_id", F.explode_outer(shorter).alias("t")).where("t is not null").select("doc_id", "t.text", "t.rows", "t.cols")
 
 
 def table_decoded(tables: DataFrame) -> DataFrame:

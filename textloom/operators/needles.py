@@ -45,7 +45,8 @@ def named(text: Column, name: str) -> Column:
 
 def at_risk(v: Column) -> Column:
     """Whether losing one character of a token would be silent and past repair."""
-    n = F.length(v)
+    # In UTF-16 units; all but characters beyond the basic plane count one.
+    n = F.when(F.octet_length(v) == F.length(v), F.length(v)).otherwise((F.octet_length(F.encode(v, "UTF-16BE")) / 2).cast("int"))
     digit, upper, lower = v.rlike("[0-9]"), v.rlike("[A-Z]"), v.rlike("[a-z]")
 
     def segment(s: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,9 +31,21 @@ NAMED = (
 )
 
 
+#: What a text must hold for a kind's pattern to be worth trying. Texts without any of it, most of all texts, are passed by.
+LITERALS = {
+    "aws-key": ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA"), "gcp-key": ("AIza",), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "github-pat": ("github_pat_",), "slack-token": ("xox",),
+    "stripe-key": ("_live_",), "api-key": ("sk-",), "private-key": ("PRIVATE KEY-----",), "jwt": ("eyJ",),
+}
+NAMES = f"(?i)(?:secret|password|passwd|token|credential|auth[_-]?key|api[_-]?key|access[_-]?key|private[_-]?key)\"?[{_S}]*[=:]"
+
+
+def _maybe(text: Column, kind: str) -> Column:
+    return text.rlike(NAMES) if kind == "named-secret" else reduce(or_, [text.contains(x) for x in LITERALS[kind]])
+
+
 def credential_kinds(text: Column) -> Column:
     """Sorted kinds found in a text; never the secrets themselves."""
-    kinds = [F.when(text.rlike(p), F.lit(k)) for k, p in (*CREDENTIALS, ("named-secret", NAMED))]
+    kinds = [F.when(_maybe(text, k) & text.rlike(p), F.lit(k)) for k, p in (*CREDENTIALS, ("named-secret", NAMED))]
     return F.array_sort(F.filter(F.array(*kinds), lambda k: k.isNotNull()))
 
 
@@ -41,4 +56,6 @@ def redacted(text: Column) -> tuple[Column, Column]:
         count = count + F.regexp_count(out, F.lit(pattern))
         out = F.regexp_replace(out, pattern, f"[redacted:{kind}]")
     count = count + F.regexp_count(out, F.lit(NAMED))
-    return F.regexp_replace(out, NAMED, "$1[redacted:named-secret]$3"), count.cast("long")
+    # A replacement makes no literal of another kind, so the text itself says whether any of them can match.
+    some = reduce(or_, [_maybe(text, k) for k in (*LITERALS, "named-secret")])
+    return F.when(some, F.regexp_replace(out, NAMED, "$1[redacted:named-secret]$3")).otherwise(text), F.when(some, count).when(text.isNotNull(), 0).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import text as T
 from ..operators import codebook, commands, dialog, distill, geometry, jsonrows, ladder, ledger, lines, needles, pages, pricing, secrets, store
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from . import pipeline
 from . import sql as S
 
@@ -30,7 +30,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _joined(e: DataFrame, doc: Column, line: Column, sep: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
-    return e.groupBy(doc.alias("doc_id")).agg(rows.alias("rows")).select("doc_id", F.array_join(F.transform("rows", lambda r: r["line"]), sep).alias("text"))
+    # A number of partitions that is named isn't merged into fewer for being small in bytes; what follows is heavy in time.
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return e.withColumn("doc_id", doc).repartition(parts, "doc_id").groupBy("doc_id").agg(rows.alias("rows")).select("doc_id", F.array_join(F.transform("rows", lambda r: r["line"]), sep).alias("text"))
 
 
 def event_rows(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -70,7 +72,7 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     " UNION ALL ".join(f"SELECT '{t}' AS kind, CAST({k} AS BIGINT) AS id, {S.tokens(c)} AS tokens FROM {t}" for t, k, c in (("documents", "doc_id", "text"), ("conversations", "conv_id * 1000 + turn", "text"), ("pages", "page_id", "html"))),
 )
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda t, k, c: read_table(spark, sf_dir, t).select(F.lit(t).alias("kind"), k.cast("long").alias("id"), T.text_tokens(F.col(c)).alias("tokens"))
+    one = lambda t, k, c: spread(read_table(spark, sf_dir, t).select(k.cast("long").alias("id"), c)).select(F.lit(t).alias("kind"), "id", T.text_tokens(F.col(c)).alias("tokens"))
     return one("documents", F.col("doc_id"), "text").unionByName(one("conversations", F.col("conv_id") * 1000 + F.col("turn"), "text")).unionByName(one("pages", F.col("page_id"), "html"))
 
 
@@ -280,10 +282,11 @@ def _risk_sql(v: str) -> str:
         f"len([s FOR s IN regexp_extract_all({v}, '[0-9A-Za-z]+') IF (length(s) >= 6 AND {has('^[0-9a-fA-F]+$', 's')} AND {has('[A-Za-z]', 's')}) OR (length(s) >= 9 AND NOT {has('[A-Za-z]', 's')})"
         f" OR (length(s) >= 8 AND {has('[0-9]', 's')} AND {has('[A-Za-z]', 's')}) OR (length(s) >= 8 AND NOT {has('[0-9]', 's')} AND ({has(needles.CONSONANTS, 's')} OR (length(s) - length(regexp_replace(s, '[aeiouyAEIOUY]', '', 'g'))) * 100 < length(s) * 15))]) > 0"
     )
+    units = f"length({v}) + length(regexp_replace({v}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"  # of UTF-16
     flips = f"2 * len(regexp_extract_all({v}, '[0-9]+')) - CAST({has('^[0-9]')} AS INT) - CAST({has('[0-9]$')} AS INT)"
     return (
-        f"CASE WHEN length({v}) < 6 THEN false WHEN {has('^[0-9]+$')} THEN length({v}) >= 9 WHEN {has('^[0-9a-fA-F]+$')} THEN true WHEN {has('|'.join(map(pattern, needles.RECOVERABLE)))} THEN false "
-        f"ELSE {has(pattern(needles.GROUPED))} OR ({has('[0-9]')} AND {has('[A-Z]')} AND {has('[a-z]')} AND {has(pattern(needles.BASE64))}) OR {segment} OR (length({v}) >= 10 AND {has('[0-9]')} AND {has('[A-Za-z]')} AND {flips} >= 3) END"
+        f"CASE WHEN {units} < 6 THEN false WHEN {has('^[0-9]+$')} THEN length({v}) >= 9 WHEN {has('^[0-9a-fA-F]+$')} THEN true WHEN {has('|'.join(map(pattern, needles.RECOVERABLE)))} THEN false "
+        f"ELSE {has(pattern(needles.GROUPED))} OR ({has('[0-9]')} AND {has('[A-Z]')} AND {has('[a-z]')} AND {has(pattern(needles.BASE64))}) OR {segment} OR ({units} >= 10 AND {has('[0-9]')} AND {has('[A-Za-z]')} AND {flips} >= 3) END"
     )
 
 

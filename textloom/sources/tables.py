@@ -30,6 +30,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer splits than cores, as small files of few row groups have; a scan of more splits stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_texts(spark: SparkSession, *paths: str, allow_sensitive: bool = False) -> DataFrame:
     """doc_id (the path), text: a row for each file; files that may hold credentials are left out unless allowed."""
     files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
