@@ -312,10 +312,9 @@ def encoded(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, least: i
     return stash(slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda a, b: levelled(a, b, blocks), f"{own}, level binary"))
 
 
-def fit(slices: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray | None:
-    """Weights of the network after training on encoded slices; none without a word."""
+def fit(slices: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, salts: int = 64) -> np.ndarray | None:
+    """Weights of the network after training on encoded slices; none without a word. ``salts``: groups that pieces are summed in first."""
     text, flat = slices.select("n", "number", "level"), None
-    salts = max(1, int(text.rdd.getNumPartitions() ** 0.5))  # two levels of about as many rows each
     for turn in range(rounds):
         start = flat
         learned = text.mapInArrow(lambda it, s=start, t=turn: train(it, vocabulary, s, t, rounds, RATE / (1 + t)), WEIGHTS)
@@ -337,6 +336,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum) and mean_log_prob of every row of ``docs`` (doc_id, text)."""
     counts, vocabulary, least = counted(docs)
     slices = encoded(docs, counts, vocabulary, least)
-    flat = fit(slices, vocabulary)
+    # Two levels of about as many rows each.
+    flat = fit(slices, vocabulary, salts=max(1, int(slices.rdd.getNumPartitions() ** 0.5)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return slices.mapInArrow(lambda it: score(it, vocabulary, flat), f"doc_id {kind}, n_tokens bigint, log_prob double, mean_log_prob double")
