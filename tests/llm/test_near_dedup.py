@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -99,3 +100,27 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert N.near_duplicates(docs).count() == 0
     assert N.keep_one(docs).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_recall_on_the_documents(spark):
+    """Pairs of different texts at 0.8 or more, found by brute force over an index of all shingles: at least 0.9 must share a class, and no class joins texts that no chain of such pairs joins."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect() if r.text is not None}
+    sets = {i: weighted(t) for i, t in text.items()}
+    holders, shared = {}, {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for held in holders.values():
+        for n, a in enumerate(held):
+            for b in held[:n]:
+                shared[b, a] = shared.get((b, a), 0) + 1
+    # No pair reaches 0.8 that shares less than half of the shingles of either text.
+    pairs = [(a, b) for (a, b), n in shared.items() if 2 * n >= max(len(sets[a]), len(sets[b]))]
+    links = [(a, b) for a, b in pairs if sets[a] == sets[b] or jaccard_p(sets[a], sets[b]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()}
+    apart = [(a, b) for a, b in links if sets[a] != sets[b]]
+    assert len(apart) >= 10 and sum(got[a] == got[b] for a, b in apart) >= 0.9 * len(apart)
+    want = classes(links, sets)
+    assert all(want[i] == want[got[i]] for i in sets if sets[i])
