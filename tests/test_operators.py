@@ -192,3 +192,12 @@ def test_stages_and_estimate(spark):
     assert e[1][2] == 0 and e[1][1] in ("raw", "text", "image")
     rec = {x.doc_id: x for x in pipeline.recommended(d).collect()}
     assert rec[0].crush_rows == 60 and rec[0].crush_kept == 16 and rec[1].crush_rows is None and rec[1].transform == "whitespace"
+
+
+def test_risk_counts_utf16_units(spark):
+    from textloom.operators import needles
+
+    tokens = ["x1y2z3😀w4", "x1y2z3éw4", "a😀b1c", "deadbeef", "12345678", "123456789"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", needles.at_risk(F.col("t")).alias("risk")).collect()
+    assert {r.t: r.risk for r in got} == {t: needles.token_at_risk(t) for t in tokens}
+    assert needles.token_at_risk("x1y2z3😀w4")
