@@ -131,13 +131,13 @@ def summed_up(told: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(gone > 0, F.concat(body, added)).otherwise(body).alias("lines"), "collapsed_runs", "important_kept", "suppressed", "template_suppressed")
 
 
-def searched(spark: SparkSession, query: str) -> str:
+def searched(spark: SparkSession, query: str, flags: str = "(?i)") -> str:
     """``query`` as a pattern for any case; one that isn't a pattern where it will run stands for itself."""
-    pattern = f"(?i){query}"
+    pattern = f"{flags}{query}"
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
     except IllegalArgumentException:
-        return "(?i)" + re.escape(query)
+        return flags + re.escape(query)
     return pattern
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ RATES = {
     "gemini": ("1.25", "10", "0.25", "1", "tile768"),
     "default": ("3", "15", "0.1", "1.25", "patch"),
 }
+#: Names of a rate's parts in overrides, and how each family counts images.
+PARTS = ("input", "output", "cacheReadMult", "cacheWriteMult")
+FAMILIES = {"anthropic": "patch", "openai": "tile512", "gemini": "tile768"}
 WEAK_READERS = ("claude-haiku-4-5", "claude-sonnet-4-5")
 #: Highest ratio of text to image tokens, level, accuracy.
 BANDS = ((8, "high", "~98%"), (12, "good", "~90-97%"), (16, "degraded", "~75-87%"), (20, "low", "~60-75%"))
@@ -24,6 +29,22 @@ BELOW = ("unreliable", "<60%")
 FETCH_SHARE, FETCH_SAVING, FETCH_PAGES = 75, 300, 6
 
 
+Rates = dict[str, tuple[str, ...]]
+
+
+def rates(override: str | None) -> Rates:
+    """The table with parts replaced by a JSON object of objects; what doesn't parse changes nothing."""
+    try:
+        given = json.loads(override or "{}")
+        own = dict(RATES)
+        for key, parts in given.items():
+            base = own.get(key, RATES["default"])
+            own[key] = (*(str(parts.get(p, v)) for p, v in zip(PARTS, base, strict=False)), FAMILIES.get(parts.get("family"), base[4]))
+    except (ValueError, AttributeError):
+        return RATES
+    return own
+
+
 def rate_key(model: Column) -> Column:
     name = F.lower(F.coalesce(model, F.lit("")))
     out = F.lit("default")
@@ -32,8 +53,8 @@ def rate_key(model: Column) -> Column:
     return out
 
 
-def _rate(key: Column, i: int, kind: str) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[i])]), key).cast(kind)
+def _rate(key: Column, i: int, kind: str, table: Rates = RATES) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v[i])]), key).cast(kind)
 
 
 def provider_tokens(dims: Column, kind: Column, patch_tokens: Column) -> Column:
@@ -53,7 +74,7 @@ def provider_tokens(dims: Column, kind: Column, patch_tokens: Column) -> Column:
     return F.when(kind == "tile512", total(tile512)).when(kind == "tile768", total(tile768)).otherwise(patch_tokens).cast("long")
 
 
-def cost_verdict(rows: DataFrame) -> DataFrame:
+def cost_verdict(rows: DataFrame, table: Rates = RATES) -> DataFrame:
     """``rows`` (model, cached, text_tokens, image_tokens, dims or not) with key, image_count, text_usd, image_usd, cheaper, cost_saved_pct, breakeven.
 
     Dollars are decimals, exact to the last place.
@@ -61,11 +82,11 @@ def cost_verdict(rows: DataFrame) -> DataFrame:
     key = rate_key(F.col("model"))
     money = "decimal(12,4)"
     rows = rows.withColumn("key", key)
-    count = provider_tokens(F.col("dims"), _rate(F.col("key"), 4, "string"), F.col("image_tokens")) if "dims" in rows.columns else F.col("image_tokens")
+    count = provider_tokens(F.col("dims"), _rate(F.col("key"), 4, "string", table), F.col("image_tokens")) if "dims" in rows.columns else F.col("image_tokens")
     one = F.lit(1).cast("decimal(4,2)")
-    into = _rate(F.col("key"), 0, money)
-    text_rate = into * F.when(F.col("cached"), _rate(F.col("key"), 2, "decimal(4,2)")).otherwise(one)
-    image_rate = into * F.when(F.col("cached"), _rate(F.col("key"), 3, "decimal(4,2)")).otherwise(one)
+    into = _rate(F.col("key"), 0, money, table)
+    text_rate = into * F.when(F.col("cached"), _rate(F.col("key"), 2, "decimal(4,2)", table)).otherwise(one)
+    image_rate = into * F.when(F.col("cached"), _rate(F.col("key"), 3, "decimal(4,2)", table)).otherwise(one)
     rows = rows.withColumns({"image_count": count.cast("long"), "_t": text_rate * F.col("text_tokens").cast("decimal(14,0)"), "_i": image_rate * count.cast("decimal(14,0)"), "_r": image_rate})
     usd = lambda c: F.round(F.col(c) / F.lit(1000000).cast("decimal(7,0)"), 6).cast("decimal(18,6)")
     d = (F.col("_t") - F.col("_i")).cast("decimal(30,6)")
@@ -120,6 +141,14 @@ def route(rows: DataFrame) -> DataFrame:
     )
 
 
+def steered(rows: DataFrame) -> DataFrame:
+    """``rows`` of a route (reason, tokens, n_credentials) and an advice (crush_kept, crush_rows, crush_text_tokens, crush_image_tokens) with steer: the thinned-out row set, where it takes fewer tokens than the route."""
+    least = F.least("crush_text_tokens", "crush_image_tokens")
+    word = lambda c: c.cast("string")
+    text = F.concat(F.lit("crush: true would keep "), word(F.col("crush_kept")), F.lit(" of "), word(F.col("crush_rows")), F.lit(" rows for ~"), word(least), F.lit(" tok, full set stashed (recommend.crush)"))
+    return rows.withColumn("steer", F.when((F.col("n_credentials") == 0) & (least < F.col("tokens")), text))
+
+
 def verdict() -> Column:
     image = F.col("image_tokens") + F.col("side_tokens")
     return F.when(F.col("n_credentials") > 0, "TEXT cheaper (credentials)").when(F.col("dense"), "TEXT cheaper (needle-dense)").when(image < F.col("raw_tokens"), "PIPELINE cheaper").otherwise("TEXT cheaper")

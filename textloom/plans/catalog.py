@@ -11,7 +11,7 @@ from ..functions import json as J
 from ..functions import text as T
 from ..operators import codebook, commands, dialog, distill, geometry, jsonrows, ladder, ledger, lines, needles, pages, pricing, secrets, store
 from ..sources.tables import read_table, spread
-from . import pipeline
+from . import pipeline, requests, runs
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -558,6 +558,14 @@ def command_crush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.crushed(spark.createDataFrame([c[:4] for c in _CAPTURES], "doc_id long, cmd array<string>, exit int, text string"))
 
 
+@query("command_runs")
+def command_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of the events as captures of a command, beside those of the rules."""
+    logs = event_log(spark, sf_dir).select("doc_id", F.array(F.lit("make")).alias("cmd"), F.lit(1).alias("exit"), "text")
+    rules = spark.createDataFrame([(-c[0], *c[1:4]) for c in _CAPTURES], "doc_id long, cmd array<string>, exit int, text string")
+    return runs.ran(logs.unionByName(rules))
+
+
 @query("sensitive_paths", "SELECT url AS path, regexp_matches(lower(regexp_extract(url, '[^/\\\\]*$')), 'credential|secret|^\\.env(\\..+)?$|^id_(rsa|ed25519|ecdsa|dsa)(\\.pub)?$|\\.(pem|p12|pfx|keystore|jks|kdbx)$|^\\.(netrc|npmrc|pypirc|htpasswd)$|^known_hosts$|\\.tfstate(\\.backup)?$') OR len(list_intersect(string_split_regex(url, '[/\\\\]'), ['.aws', '.ssh', '.gnupg', '.kube'])) > 0 AS sensitive FROM (SELECT url FROM pages UNION ALL SELECT unnest(['/home/a/.ssh/config', 'conf/.env.local', 'a/my-secrets.txt', 'keys/ID_RSA', 'x.pem', 'docs/environment.md', 'C:\\u\\.aws\\x', 'terraform.tfstate.backup', '.envrc']) AS url)")
 def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = ["/home/a/.ssh/config", "conf/.env.local", "a/my-secrets.txt", "keys/ID_RSA", "x.pem", "docs/environment.md", "C:\\u\\.aws\\x", "terraform.tfstate.backup", ".envrc"]
@@ -582,6 +590,35 @@ def repeat_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialog.repeats(turns(spark, sf_dir), 20)
 
 
+#: Requests of eight documents each; every third stands there twice, every fourth is the assistant's, some requests have their breakpoints.
+_SENT = f"""WITH {_NORMAL}, c AS (SELECT doc_id // 8 AS req_id, doc_id % 8 AS msg, text, length(text) AS chars, {S.tokens('text')} AS raw, g.tokens AS cost, g.pages AS n_pages, unnest(CASE WHEN doc_id % 3 = 0 THEN [0, 1] ELSE [0] END) AS block
+FROM documents JOIN g USING (doc_id) WHERE doc_id % 8 < 7 AND doc_id % 4 <> 3 AND length(text) >= 200 AND {_N_CREDENTIALS} = 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY req_id, text ORDER BY msg, block) > 1 AS again, row_number() OVER (PARTITION BY req_id ORDER BY msg DESC, block DESC) = 1 AS last FROM c WHERE n_pages <= 20 AND cost <= raw * 0.75 AND raw - cost >= 20),
+p AS (SELECT *, '[' || chars || ' chars, byte-identical to a block imaged above (' || n_pages || ' PNG page(s)); not repeated]' AS pointer FROM w),
+x AS (SELECT req_id, msg, block, sha256(text) AS digest, CASE WHEN again THEN 'pointer' ELSE 'image' END AS action, CASE WHEN again THEN 0 ELSE n_pages END AS pages, chars AS orig_chars, raw AS raw_tokens, CASE WHEN again THEN {S.tokens('pointer')} ELSE cost END AS cost_tokens, last AND req_id % 6 < 4 AS breakpoint FROM p),
+r AS (SELECT *, raw_tokens - cost_tokens AS saved FROM x)"""
+
+
+def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    twice = F.explode(F.when(n % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("block")
+    content = documents(spark, sf_dir).select(
+        F.floor(n / 8).alias("req_id"), (n % 8).alias("msg"), twice, F.lit(0).alias("item"), F.when(n % 4 == 3, "assistant").otherwise("user").alias("role"), F.lit("text").alias("kind"), "text",
+        F.lit(False).alias("marked"), F.lit(False).alias("block_marked"), F.lit(8).alias("n_messages"), (F.floor(n / 8) % 6).alias("n_marked"),
+    )
+    return requests.transformed(content, requests.Settings(min_chars=200, min_save=20, verbatim="off"))
+
+
+@query("request_transform", f"{_SENT} SELECT * FROM r")
+def request_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sent(spark, sf_dir).drop("item", "shown", "marker", "beside")
+
+
+@query("request_totals", f"{_SENT} SELECT req_id, count(*) AS imaged_blocks, CAST(sum(orig_chars) AS BIGINT) AS orig_chars, CAST(sum(pages) AS BIGINT) AS image_count, CAST(sum(saved) AS BIGINT) AS saved_tokens, bool_or(breakpoint) AS cached FROM r GROUP BY req_id")
+def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.totals(sent(spark, sf_dir))
+
+
 _BLOCK = "left(sha256(encode(role) || '\\x00'::BLOB || encode(CAST(to_json(text) AS VARCHAR))), 12)"
 
 

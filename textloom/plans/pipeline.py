@@ -93,8 +93,12 @@ def _credentials(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(secrets.credential_kinds(F.col("text"))).alias("n_credentials"))
 
 
-def estimated(docs: DataFrame, level: float = 0, model: str | None = None, font: str = "normal", verbatim: str = "full", **stages: bool) -> DataFrame:
-    """One row a document: stages applied, pages and tokens, exact strings, verdict, read-back level and route."""
+def estimated(docs: DataFrame, level: float = 0, model: str | None = None, font: str = "normal", verbatim: str = "full", cached: bool = False, advice: DataFrame | None = None, rates: pricing.Rates = pricing.RATES, **stages: bool) -> DataFrame:  # noqa: PLR0913
+    """One row a document: stages applied, pages and tokens, exact strings, verdict, read-back level and route.
+
+    A model or a cached text adds the price in dollars. With ``advice`` (``recommended``) the route weighs the advised page
+    form, and steer says where the thinned-out row set would be cheaper still.
+    """
     done = staged(docs, level, **stages)
     text = done.select("doc_id", F.col("compressed").alias("text"))
     raw = docs.select("doc_id", T.chars(F.col("text")).alias("orig_chars"), T.text_tokens(F.col("text")).alias("raw_tokens"), T.text_tokens(F.col("text")).alias("text_tokens"))
@@ -105,8 +109,15 @@ def estimated(docs: DataFrame, level: float = 0, model: str | None = None, font:
     space = ladder.compress(docs, 1).select("doc_id", T.text_tokens(F.col("compressed")).alias("space_tokens"))
     size = geometry.walked(text, font).select("doc_id", "pages", F.col("tokens").alias("image_tokens"), "dims")
     rows = raw.join(size, "doc_id").join(side, "doc_id").join(space, "doc_id").join(_credentials(docs), "doc_id").join(done.select("doc_id", T.chars(F.col("compressed")).alias("stage_chars"), "protected_lines"), "doc_id")
-    rows = rows.withColumns({"model": F.lit(model).cast("string"), "cached": F.lit(False), "verdict": pricing.verdict()})
-    rows = pricing.cost_verdict(rows) if model else rows.withColumn("cheaper", F.lit(None).cast("string"))
-    out = pricing.route(rows).withColumn("level", pricing.fidelity_level(F.col("raw_tokens"), F.col("image_tokens"), F.lit(font == "tiny"), pricing.is_weak_reader(F.col("model"))))
+    rows = rows.withColumns({"model": F.lit(model).cast("string"), "cached": F.lit(cached), "verdict": pricing.verdict()})
+    priced = bool(model) or cached
+    rows = pricing.cost_verdict(rows, rates) if priced else rows.withColumn("cheaper", F.lit(None).cast("string"))
+    rows = rows.withColumn("own_tokens", F.col("image_tokens"))
+    crush = [f"crush_{c}" for c in ("kept", "rows", "text_tokens", "image_tokens")]
+    if advice is not None:
+        rows = rows.drop("image_tokens").join(advice.select("doc_id", "image_tokens", *crush), "doc_id")
+    out = pricing.route(rows).withColumn("image_tokens", F.col("own_tokens")).withColumn("level", pricing.fidelity_level(F.col("raw_tokens"), F.col("image_tokens"), F.lit(font == "tiny"), pricing.is_weak_reader(F.col("model"))))
     saved = T.percent_saved(F.col("raw_tokens"), F.col("image_tokens") + F.col("side_tokens"))
-    return out.select("doc_id", "orig_chars", "stage_chars", "pages", "image_tokens", "raw_tokens", "side_tokens", "n_needles", "dense", "n_credentials", "protected_lines", saved.alias("total_saved_pct"), "verdict", "level", "pick", "tokens", "fidelity", "reason")
+    out = pricing.steered(out) if advice is not None else out
+    more = [*(["text_usd", "image_usd", "cheaper", "cost_saved_pct", "breakeven"] if priced else []), *(["steer"] if advice is not None else [])]
+    return out.select("doc_id", "orig_chars", "stage_chars", "pages", "image_tokens", "raw_tokens", "side_tokens", "n_needles", "dense", "n_credentials", "protected_lines", saved.alias("total_saved_pct"), "verdict", "level", "pick", "tokens", "fidelity", "reason", *more)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +13,6 @@ EVENT_SCHEMA = (
 )
 
 
-@dataclass(frozen=True)
-class Config:
-    """Settings of the engine; what is unset keeps its default."""
-
-    stash: str = "stash"
-    events: str = "events"
-    verbatim: str = "full"
-    recent: int = 1
-    rates: str | None = None
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import geometry, ladder, ledger, needles, pages, secrets, store
-from .operators.distill import distill
+from .operators import geometry, jsonrows, ladder, ledger, lines, needles, pages, pricing, secrets, store
+from .operators.distill import distill, searched
 from .plans import pipeline
 from .sources import tables
 
@@ -53,12 +53,12 @@ TOOLS = {
     t.name: t
     for t in (
         Tool("render", "Text to image pages, with the exact strings beside them", _TEXT | _STAGES | _PAGES),
-        Tool("estimate", "What a text costs as text and as pages, and which route to take", _TEXT | _STAGES | _PAGES | {"model": Knob("string")}),
-        Tool("distill", "A log without its repetitions; important lines stay", _TEXT | {"query": Knob("string")}),
+        Tool("estimate", "What a text costs as text and as pages, and which route to take", _TEXT | _STAGES | _PAGES | {"model": Knob("string"), "cached": Knob("boolean"), "rates": Knob("string")}),
+        Tool("distill", "A log without its repetitions; important lines stay", _TEXT | {"query": Knob("string"), "crush": Knob("boolean"), "table": Knob("boolean")}),
         Tool("compress", "Prose at a level of the loss ladder", _TEXT | {"level": Knob("integer", low=0, high=MAX_LEVEL)}),
         Tool("stats", "Totals of the event log", {"path": Knob("string", True)}),
         Tool("stash", "Keep a text under the id of its content", _TEXT | {"path": Knob("string", True)}),
-        Tool("fetch", "Part of a kept text, by lines, pattern or words", {"path": Knob("string", True), "id": Knob("string", True), "lines": Knob("string"), "query": Knob("string"), "find": Knob("string"), "top": Knob("integer", low=1, high=32), "redact": Knob("boolean")}),
+        Tool("fetch", "Part of a kept text, by lines, pattern or words", {"path": Knob("string", True), "id": Knob("string", True), "lines": Knob("string"), "query": Knob("string"), "find": Knob("string"), "top": Knob("integer", low=1, high=32), "redact": Knob("boolean"), "verbatim": _PAGES["verbatim"]}),
         Tool("verify", "Whether a kept text holds a value, or one close to it", {"path": Knob("string", True), "id": Knob("string", True), "value": Knob("string", True)}),
     )
 }
@@ -108,8 +108,23 @@ def render(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
 
 def estimate(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
     docs = one(spark, args["text"])
-    knobs = {"model": args.get("model"), "font": args.get("font", "normal"), "verbatim": args.get("verbatim", "full")}
-    return _first(pipeline.estimated(docs, _level(args), **knobs, **_stages(args))) | {"recommend": _first(pipeline.recommended(docs))}
+    knobs = {"model": args.get("model"), "font": args.get("font", "normal"), "verbatim": args.get("verbatim", "full"), "cached": bool(args.get("cached")), "rates": pricing.rates(args.get("rates"))}
+    advice = pipeline.recommended(docs)
+    told = _first(pipeline.estimated(docs, _level(args), advice=advice, **knobs, **_stages(args)))
+    steer = told.pop("steer")
+    return told | {"reason": f"{told['reason']}; {steer}" if steer else told["reason"], "recommend": _first(advice)}
+
+
+def distilled(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
+    docs, counts, marker = one(spark, args["text"]), {}, ""
+    if args.get("crush") and (few := _first(jsonrows.crushed(docs))):
+        docs, counts["crush"] = one(spark, few["text"]), {"kept": few["kept"], "rows": few["rows"]}
+        whole = one(spark, args["text"]).select(T.content_id(F.col("text"))).first()[0]
+        marker = f"\n·crushed· kept {few['kept']} of {few['rows']} rows - full set: fetch {whole} (--query re | --lines a-b)"
+    if args.get("table") and (cells := _first(jsonrows.table_encoded(docs))):
+        docs, counts["table"] = one(spark, cells["text"]), {"rows": cells["rows"], "cols": cells["cols"]}
+    out = _first(distill(docs, args.get("query")))
+    return out | {"distilled": out["distilled"] + marker} | counts
 
 
 def fetch(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
@@ -128,8 +143,30 @@ def fetch(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
         out = store.fetch_find(docs, args["find"], int(args.get("top", store.TOP)))
     else:
         out = distill(docs, args["query"]).select("doc_id", F.col("distilled").alias("text"))
+    head = ""
+    if asked == ["query"]:
+        counted = lines.match_count(docs, searched(spark, args["query"], "")).first()
+        head = f"[query matched {counted.matched} of {counted.total} lines]"
+    if asked != ["find"] and (drawn := _as_pages(out, args.get("verbatim", "full"), head)):
+        return drawn
     text, n = secrets.redacted(F.col("text"))
-    return _first(out.select(text.alias("text"), n.alias("n_redacted")) if args.get("redact", True) else out.select("text"))
+    got = _first(out.select(text.alias("text"), n.alias("n_redacted")) if args.get("redact", True) else out.select("text"))
+    return got | {"text": f"{head}\n{got['text']}"} if head else got
+
+
+def _as_pages(docs: DataFrame, verbatim: str, head: str) -> dict[str, Any] | None:
+    """A fetched slice as pages with its exact strings, where that is clearly cheaper than text."""
+    found = F.size("needles") + F.col("more")
+    shipped = {"off": F.lit(0).cast("long"), "lazy": T.text_tokens(needles.pointer(found))}.get(verbatim, F.col("tokens"))
+    beside = {"off": F.lit(""), "lazy": F.when(found > 0, needles.pointer(found)).otherwise("")}.get(verbatim, F.col("sidecar"))
+    side = needles.sidecars(docs).select("doc_id", beside.alias("sidecar"), shipped.alias("side_tokens"), (F.col("dense") & F.lit(verbatim != "off")).alias("dense"))
+    raw = docs.select("doc_id", T.text_tokens(F.col("text")).alias("raw"), F.size(secrets.credential_kinds(F.col("text"))).alias("n_credentials"))
+    rows = raw.join(geometry.walked(docs).select("doc_id", "pages", "tokens"), "doc_id").join(side, "doc_id").withColumn("cost", F.col("tokens") + F.col("side_tokens"))
+    won = rows.where(pricing.may_be_pages(F.col("raw"), F.col("cost"), F.col("pages"), F.col("n_credentials"), F.col("dense"))).first()
+    if won is None:
+        return None
+    marker = f"[slice imaged as {won['pages']} PNG page(s), ~{won['cost']} vs ~{won['raw']} text tokens. ↵=newline →=tab ⇥N=indent{f'; {head[1:-1]}' if head else ''}]"
+    return {"text": marker, "sidecar": won["sidecar"], "pages": [bytes(r.png) for r in pages.rendered(docs).orderBy("page_no").collect()]}
 
 
 def stash(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
@@ -146,7 +183,7 @@ def compress(spark: SparkSession, args: dict[str, Any]) -> dict[str, Any]:
 _CALLS: dict[str, Callable[[SparkSession, dict[str, Any]], dict[str, Any]]] = {
     "render": render,
     "estimate": estimate,
-    "distill": lambda spark, args: _first(distill(one(spark, args["text"]), args.get("query"))),
+    "distill": distilled,
     "compress": compress,
     "stats": lambda spark, args: _first(ledger.totals(tables.read_events(spark, args["path"]))),
     "stash": stash,
