@@ -591,12 +591,12 @@ def repeat_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Requests of eight documents each; every third stands there twice, every fourth is the assistant's, some requests have their breakpoints.
-_SENT = f"""WITH {_NORMAL}, c AS (SELECT doc_id // 8 AS req_id, doc_id % 8 AS msg, text, length(text) AS chars, {S.tokens('text')} AS raw, g.tokens AS cost, g.pages AS n_pages, unnest(CASE WHEN doc_id % 3 = 0 THEN [0, 1] ELSE [0] END) AS block
+_SENT = f"""WITH {_NORMAL}, sc AS (SELECT doc_id // 8 AS req_id, doc_id % 8 AS msg, text, length(text) AS chars, {S.tokens('text')} AS raw, g.tokens AS cost, g.pages AS n_pages, unnest(CASE WHEN doc_id % 3 = 0 THEN [0, 1] ELSE [0] END) AS block
 FROM documents JOIN g USING (doc_id) WHERE doc_id % 8 < 7 AND doc_id % 4 <> 3 AND length(text) >= 200 AND {_N_CREDENTIALS} = 0),
-w AS (SELECT *, row_number() OVER (PARTITION BY req_id, text ORDER BY msg, block) > 1 AS again, row_number() OVER (PARTITION BY req_id ORDER BY msg DESC, block DESC) = 1 AS last FROM c WHERE n_pages <= 20 AND cost <= raw * 0.75 AND raw - cost >= 20),
-p AS (SELECT *, '[' || chars || ' chars, byte-identical to a block imaged above (' || n_pages || ' PNG page(s)); not repeated]' AS pointer FROM w),
-x AS (SELECT req_id, msg, block, sha256(text) AS digest, CASE WHEN again THEN 'pointer' ELSE 'image' END AS action, CASE WHEN again THEN 0 ELSE n_pages END AS pages, chars AS orig_chars, raw AS raw_tokens, CASE WHEN again THEN {S.tokens('pointer')} ELSE cost END AS cost_tokens, last AND req_id % 6 < 4 AS breakpoint FROM p),
-r AS (SELECT *, raw_tokens - cost_tokens AS saved FROM x)"""
+sw AS (SELECT *, row_number() OVER (PARTITION BY req_id, text ORDER BY msg, block) > 1 AS again, row_number() OVER (PARTITION BY req_id ORDER BY msg DESC, block DESC) = 1 AS last FROM sc WHERE n_pages <= 20 AND cost <= raw * 0.75 AND raw - cost >= 20),
+sp AS (SELECT *, '[' || chars || ' chars, byte-identical to a block imaged above (' || n_pages || ' PNG page(s)); not repeated]' AS pointer FROM sw),
+sx AS (SELECT req_id, msg, block, sha256(text) AS digest, CASE WHEN again THEN 'pointer' ELSE 'image' END AS action, CASE WHEN again THEN 0 ELSE n_pages END AS pages, chars AS orig_chars, raw AS raw_tokens, CASE WHEN again THEN {S.tokens('pointer')} ELSE cost END AS cost_tokens, last AND req_id % 6 < 4 AS breakpoint FROM sp),
+sr AS (SELECT *, raw_tokens - cost_tokens AS saved FROM sx)"""
 
 
 def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -609,12 +609,12 @@ def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.transformed(content, requests.Settings(min_chars=200, min_save=20, verbatim="off"))
 
 
-@query("request_transform", f"{_SENT} SELECT * FROM r")
+@query("request_transform", f"{_SENT} SELECT * FROM sr")
 def request_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent(spark, sf_dir).drop("item", "shown", "marker", "beside")
 
 
-@query("request_totals", f"{_SENT} SELECT req_id, count(*) AS imaged_blocks, CAST(sum(orig_chars) AS BIGINT) AS orig_chars, CAST(sum(pages) AS BIGINT) AS image_count, CAST(sum(saved) AS BIGINT) AS saved_tokens, bool_or(breakpoint) AS cached FROM r GROUP BY req_id")
+@query("request_totals", f"{_SENT} SELECT req_id, count(*) AS imaged_blocks, CAST(sum(orig_chars) AS BIGINT) AS orig_chars, CAST(sum(pages) AS BIGINT) AS image_count, CAST(sum(saved) AS BIGINT) AS saved_tokens, bool_or(breakpoint) AS cached FROM sr GROUP BY req_id")
 def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.totals(sent(spark, sf_dir))
 
