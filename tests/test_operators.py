@@ -41,6 +41,17 @@ def test_table_round_trip(spark):
     assert by_doc(jsonrows.table_decoded(docs(spark, "no table", '·cols·\tbad\nx')), "text") == {0: None, 1: None}
 
 
+def test_rows_do_not_carry_their_text(spark):
+    plan = [jsonrows.table_encoded(docs(spark, '{"a":1}\n{"a":2}'))._jdf.queryExecution().optimizedPlan()]
+    carried = []
+    while plan:
+        node = plan.pop()
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate" and "row_no" in node.generatorOutput().mkString(","):
+            carried.append(node.requiredChildOutput().mkString(","))
+    assert len(carried) == 1 and "before#" in carried[0] and "text#" not in carried[0]
+
+
 def test_codebook_round_trip(spark):
     text = " ".join(["/usr/lib/python3/site", "/usr/lib/python3/dist", "averylongidentifier"] * 6) + " § x"
     r = codebook.applied(docs(spark, text, "short text")).orderBy("doc_id").collect()

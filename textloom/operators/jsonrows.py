@@ -33,8 +33,10 @@ def rows_of(text: Column) -> Column:
 
 def parsed_rows(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, ``more``, row_no (from 0), row, of texts that are row sets."""
+    # What ``more`` takes from the text is evaluated before the rows are made, for each row would carry the text otherwise.
+    held = docs.select("doc_id", "text", *more)
     # The outer form keeps the optimizer from evaluating the rows once more in a filter.
-    return docs.select("doc_id", *more, F.posexplode_outer(rows_of(F.col("text"))).alias("row_no", "row")).where("row_no is not null")
+    return held.select("doc_id", *held.columns[2:], F.posexplode_outer(rows_of(F.col("text"))).alias("row_no", "row")).where("row_no is not null")
 
 
 def crushed(docs: DataFrame) -> DataFrame:
