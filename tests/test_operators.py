@@ -41,8 +41,10 @@ def test_table_round_trip(spark):
     assert by_doc(jsonrows.table_decoded(docs(spark, "no table", '·cols·\tbad\nx')), "text") == {0: None, 1: None}
 
 
-def test_rows_do_not_carry_their_text(spark):
-    plan = [jsonrows.table_encoded(docs(spark, '{"a":1}\n{"a":2}'))._jdf.queryExecution().optimizedPlan()]
+@pytest.mark.parametrize("decoded", [False, True])
+def test_rows_do_not_carry_their_text(spark, decoded):
+    table = jsonrows.table_encoded(docs(spark, '{"a":1}\n{"a":2}'))
+    plan = [(jsonrows.table_decoded(table) if decoded else table)._jdf.queryExecution().optimizedPlan()]
     carried = []
     while plan:
         node = plan.pop()
