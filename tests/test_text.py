@@ -84,6 +84,28 @@ def test_ladder(spark, level, text, want):
     assert ladder.compress(d, level).first().compressed == want
 
 
+def test_ladder_evaluates_a_line_once(spark):
+    d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = ladder.compress(d, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"{{{ladder.LONG_TOKEN}}}") == 2  # what protects a line: its first look and the look that decides
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Please Note That it works", "It works"),
+        ("x,plea\u017fe note that it works", "X, it works"),
+        ("go ın order to w\u0130n", "Go to w\u0130n"),
+        ("keep it. Eeep \u212aeep in mind that all", "Keep it. Eeep all"),
+        ("\u3000two\u00a0 words\u2003.\u3000", "Two\u00a0 words."),
+        ("a\u3000" + "b" * 23 + "\tc please note that", "A\u3000" + "b" * 23 + "\tc"),
+        ("a\u3000" + "b" * 24 + " please note that", "a\u3000" + "b" * 24 + " please note that"),
+    ],
+)
+def test_ladder_beyond_ascii(spark, text, want):
+    assert ladder.compress(spark.createDataFrame([(1, text)], "doc_id long, text string"), 2).first().compressed == want
+
+
 def test_protected_lines_are_counted(spark):
     d = spark.createDataFrame([(1, "plain words here\n  indented\n" + "x" * 24 + "\n#### ####")], "doc_id long, text string")
     assert ladder.compress(d, 2).first().protected_lines == 3

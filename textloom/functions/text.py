@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values of the results to match: white space, word boundaries, masks, weights.
 #: Unicode White_Space, for Java character classes.
 SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+#: A first look that rules out most characters at once, as white space is none of these.
+NOT_PRINTABLE = "(?=[^!-~])"
 WORD = "[0-9A-Za-z_]"
 #: Before and after a word of ASCII word characters; EDGE is either, whatever the neighbours are.
 HEAD, TAIL = f"(?<!{WORD})", f"(?!{WORD})"
@@ -48,7 +50,7 @@ def first_chars(text: Column, n: int) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^[{SPACE}]+", ""), f"[{SPACE}]+\\z", "")
+    return F.regexp_replace(F.regexp_replace(text, f"^[{SPACE}]+", ""), f"{NOT_PRINTABLE}[{SPACE}]+\\z", "")
 
 
 def content_id(text: Column) -> Column:

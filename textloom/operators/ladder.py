@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.json import let
 
 LEVELS = ((0, "none", "lossless"), (1, "whitespace", "lossless"), (2, "prose", "light"), (3, "dense", "medium"), (4, "caveman", "heavy"))
 
@@ -15,7 +17,11 @@ LEVELS = ((0, "none", "lossless"), (1, "whitespace", "lossless"), (2, "prose", "
 #: Word characters of Unicode, for boundaries.
 W = "[\\p{IsAlphabetic}\\p{M}\\p{Nd}\\p{Pc}\\u200C\\u200D]"
 LONG_TOKEN = 24
-PLAIN = "0-9A-Za-z.,;:'\"!?()\\-"
+#: Letters beyond ASCII that patterns without case take for one of ASCII.
+ODD_LETTERS = "\u017f\u212a\u0130\u0131"
+PLAIN = "a-zA-Z0-9.,;:'\"!?()\\-"
+#: Those of PLAIN and white space that are quick to drop.
+SOME_PLAIN = " .,;:'\"!?()-" + string.ascii_letters + string.digits
 HEDGES = (
     ("it (?:might|may|could) (?:potentially )?be worth (?:considering|noting|mentioning) that", ""),
     ("it is worth (?:noting|mentioning) that", ""),
@@ -55,14 +61,20 @@ FUNCTION_WORDS = (
 
 def is_protected(line: Column) -> Column:
     """Indented, rich in symbols (over 30 %), or with a token of 24 code points or more."""
-    symbols = F.length(F.regexp_replace(line, f"[{T.SPACE}{PLAIN}]", ""))
-    return (line != "") & (line.rlike("^[ \\t]") | (10 * symbols > 3 * F.length(line)) | line.rlike(f"[^{T.SPACE}]{{{LONG_TOKEN}}}"))
+    symbols = F.length(F.regexp_replace(F.translate(line, SOME_PLAIN, ""), f"[{PLAIN}{T.SPACE}]+", ""))
+    # The class of all white space is slow to try, so that only lines that go so far without a plain space are tried.
+    long = line.rlike(f"[^ ]{{{LONG_TOKEN}}}") & line.rlike(f"(?:^|{T.NOT_PRINTABLE}[{T.SPACE}])[^{T.SPACE}]{{{LONG_TOKEN}}}")
+    return (line != "") & (line.rlike("^[ \\t]") | (10 * symbols > 3 * F.length(line)) | long)
+
+
+def _starts(pattern: str) -> set[str]:
+    optional = "(?:please )?"
+    return {"p", pattern[len(optional)]} if pattern.startswith(optional) else {pattern[0]} if "(" in pattern else {w[0] for w in pattern.split("|")}
 
 
 def _words(pattern: str, tail: str) -> str:
     """Words after a boundary. A look at the first letter spares the lookbehind at most places."""
-    optional = "(?:please )?"
-    starts = {"p", pattern[len(optional)]} if pattern.startswith(optional) else {pattern[0]} if "(" in pattern else {w[0] for w in pattern.split("|")}
+    starts = _starts(pattern)
     first = "".join(sorted(starts)) + ("\\u017f" if "s" in starts else "")
     return f"(?iu)(?=[{first}])(?<!{W})(?:{pattern}){tail}"
 
@@ -71,18 +83,32 @@ def _phrase(pattern: str) -> str:
     return _words(pattern, f"(?!{W})")
 
 
+def _may_hold(line: Column, phrases: tuple[tuple[str, str], ...]) -> Column:
+    """False only where no phrase matches: where the line in lower case has none that follows no letter of ASCII, nor a letter beyond ASCII that equals one of ASCII without case."""
+    first = "".join(sorted(set().union(*[_starts(p) for p, _ in phrases])))
+    found = F.lower(line).rlike(f"(?=[{first}])(?<![a-z])(?:{'|'.join(p for p, _ in phrases)})")
+    return reduce(lambda a, b: a | b, [line.contains(c) for c in ODD_LETTERS], found)
+
+
+def _replaced(line: Column, steps: list[tuple[str, str]]) -> Column:
+    return reduce(lambda s, step: F.regexp_replace(s, *step), steps, line)
+
+
 def tightened(line: Column, level: int) -> Column:
     """A line of prose at level 2, 3 or 4, before its first letter is raised."""
-    steps = [(" {2,}", " ")]
-    if level >= 2:
-        steps += [(_phrase(p), r) for p, r in HEDGES]
-    steps += [(_phrase(p), r) for p, r in FILLER]
+    phrases = (HEDGES if level >= 2 else ()) + FILLER
+    # A line that no phrase matches stays as it is through all of these steps.
+    whole = let(_replaced(line, [(" {2,}", " ")]), lambda s: F.when(_may_hold(s, phrases), _replaced(s, [(_phrase(p), r) for p, r in phrases])).otherwise(s))
+    steps = []
     if level >= 3:
         steps += [(_words(words, f"[{T.SPACE}]+"), "") for words in (ARTICLES, INTENSIFIERS)]
     if level >= 4:
         steps.append((_words(FUNCTION_WORDS, f"(?!{W})[{T.SPACE}]*"), ""))
-    steps += [(" {2,}", " "), (f"[{T.SPACE}]+([.,;:!?])", "$1")]
-    return T.trim_space(reduce(lambda s, step: F.regexp_replace(s, *step), steps, line))
+    steps.append((" {2,}", " "))
+    # As white space is slow to look for, only lines where some may be found go through what follows.
+    closed = lambda s: F.when(s.rlike("[^!-~][.,;:!?]"), _replaced(s, [(f"{T.NOT_PRINTABLE}[{T.SPACE}]+([.,;:!?])", "$1")])).otherwise(s)
+    bare = lambda s: F.when(F.concat(F.substring(s, 1, 1), F.substring(s, -1, 1)).rlike("[^!-~]"), T.trim_space(s)).otherwise(s)
+    return let(let(_replaced(whole, steps), closed), bare)
 
 
 def capitalised(line: Column) -> Column:
@@ -100,8 +126,9 @@ def compress(docs: DataFrame, level: float) -> DataFrame:
     if n == 0:
         return docs.select("doc_id", t.alias("compressed"), F.lit(0).cast("long").alias("protected_lines"), F.lit(0).alias("level"))
     lines = F.transform(F.split(t, "\n", -1), lambda x: F.regexp_replace(x, "[ \\t]+\\z", ""))
-    # Two steps, so that the chain of replacements is evaluated once a line.
-    done = F.transform("lines", lambda x: F.struct(is_protected(x).alias("kept"), F.when(is_protected(x), x).otherwise(tightened(x, n)).alias("line")))
-    out = lines if n == 1 else F.transform(done, lambda d: F.when(d["kept"], d["line"]).otherwise(capitalised(d["line"])))
-    kept = F.lit(0) if n == 1 else F.size(F.filter("lines", is_protected))
-    return docs.withColumn("lines", lines).select("doc_id", T.squeezed_blank_lines(F.array_join(out, "\n")).alias("compressed"), kept.cast("long").alias("protected_lines"), F.lit(n).alias("level"))
+    if n == 1:
+        return docs.select("doc_id", T.squeezed_blank_lines(F.array_join(lines, "\n")).alias("compressed"), F.lit(0).cast("long").alias("protected_lines"), F.lit(n).alias("level"))
+    # In steps, so that what protects a line and the chain of replacements are evaluated once a line.
+    done = F.transform(lines, lambda x: let(is_protected(x), lambda kept: F.struct(kept.alias("kept"), F.when(kept, x).otherwise(let(tightened(x, n), capitalised)).alias("line"))))
+    out, kept = F.transform("done", lambda d: d["line"]), F.size(F.filter("done", lambda d: d["kept"]))
+    return docs.select("doc_id", done.alias("done")).select("doc_id", T.squeezed_blank_lines(F.array_join(out, "\n")).alias("compressed"), kept.cast("long").alias("protected_lines"), F.lit(n).alias("level"))
