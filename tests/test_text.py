@@ -84,9 +84,10 @@ def test_ladder(spark, level, text, want):
     assert ladder.compress(d, level).first().compressed == want
 
 
-def test_ladder_evaluates_a_line_once(spark):
+@pytest.mark.parametrize("level", [2, 4])
+def test_ladder_evaluates_a_line_once(spark, level):
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    plan = ladder.compress(d, 2)._jdf.queryExecution().optimizedPlan().toString()
+    plan = ladder.compress(d, level)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f"{{{ladder.LONG_TOKEN}}}") == 2  # what protects a line: its first look and the look that decides
 
 
