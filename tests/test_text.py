@@ -84,7 +84,7 @@ def test_ladder(spark, level, text, want):
     assert ladder.compress(d, level).first().compressed == want
 
 
-@pytest.mark.parametrize("level", [2, 4])
+@pytest.mark.parametrize("level", [2, 3, 4])
 def test_ladder_evaluates_a_line_once(spark, level):
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = ladder.compress(d, level)._jdf.queryExecution().optimizedPlan().toString()
