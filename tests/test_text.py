@@ -107,6 +107,14 @@ def test_ladder_beyond_ascii(spark, text, want):
     assert ladder.compress(spark.createDataFrame([(1, text)], "doc_id long, text string"), 2).first().compressed == want
 
 
+@pytest.mark.parametrize("level", [4])
+def test_ladder_drops_words_in_one_pass(spark, level):
+    d = spark.createDataFrame([(1, "\U0001d400the end, a very\u3000the \u0130s-of the\u2003the1 that")], "doc_id long, text string")
+    passes = lambda n: ladder.compress(d, n)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
+    assert passes(level) == passes(2) + 1
+    assert ladder.compress(d, level).first().compressed == {3: "\U0001d400the end, \u0130s-of the1 that", 4: "\U0001d400the end, -the1"}[level]
+
+
 def test_protected_lines_are_counted(spark):
     d = spark.createDataFrame([(1, "plain words here\n  indented\n" + "x" * 24 + "\n#### ####")], "doc_id long, text string")
     assert ladder.compress(d, 2).first().protected_lines == 3

@@ -111,7 +111,7 @@ def template(masked: Column) -> Column:
 
 
 def squeezed_blank_lines(text: Column) -> Column:
-    return F.regexp_replace(text, "\\n{3,}", "\n\n")
+    return F.when(text.contains("\n\n\n"), F.regexp_replace(text, "\\n{3,}", "\n\n")).otherwise(text)
 
 
 def is_sensitive_path(path: Column) -> Column:

@@ -16,12 +16,14 @@ LEVELS = ((0, "none", "lossless"), (1, "whitespace", "lossless"), (2, "prose", "
 # Fixed values of the results to match.
 #: Word characters of Unicode, for boundaries.
 W = "[\\p{IsAlphabetic}\\p{M}\\p{Nd}\\p{Pc}\\u200C\\u200D]"
+#: Those of ASCII, all named, as a class of single characters is the quickest to look up.
+ASCII_W = string.ascii_letters + string.digits + "_"
 LONG_TOKEN = 24
 #: Letters beyond ASCII that patterns without case take for one of ASCII.
 ODD_LETTERS = "\u017f\u212a\u0130\u0131"
 PLAIN = "a-zA-Z0-9.,;:'\"!?()\\-"
-#: Those of PLAIN and white space that are quick to drop.
-SOME_PLAIN = " .,;:'\"!?()-" + string.ascii_letters + string.digits
+#: Those of PLAIN and white space that are quick to drop, all named.
+SOME_PLAIN = " .,;:'\"!?()\\-" + string.ascii_letters + string.digits
 HEDGES = (
     ("it (?:might|may|could) (?:potentially )?be worth (?:considering|noting|mentioning) that", ""),
     ("it is worth (?:noting|mentioning) that", ""),
@@ -61,10 +63,11 @@ FUNCTION_WORDS = (
 
 def is_protected(line: Column) -> Column:
     """Indented, rich in symbols (over 30 %), or with a token of 24 code points or more."""
-    symbols = F.length(F.regexp_replace(F.translate(line, SOME_PLAIN, ""), f"[{PLAIN}{T.SPACE}]+", ""))
+    rich = lambda x: 10 * F.length(x) > 3 * F.length(line)
+    symbols = let(F.regexp_replace(line, f"[{SOME_PLAIN}]+", ""), lambda x: rich(x) & rich(F.regexp_replace(x, f"[{PLAIN}{T.SPACE}]+", "")))
     # The class of all white space is slow to try, so that only lines that go so far without a plain space are tried.
-    long = line.rlike(f"[^ ]{{{LONG_TOKEN}}}") & line.rlike(f"(?:^|{T.NOT_PRINTABLE}[{T.SPACE}])[^{T.SPACE}]{{{LONG_TOKEN}}}")
-    return (line != "") & (line.rlike("^[ \\t]") | (10 * symbols > 3 * F.length(line)) | long)
+    long = line.rlike(f"^ *(?:[^ ]{{1,{LONG_TOKEN - 1}}} +)*+[^ ]{{{LONG_TOKEN}}}") & line.rlike(f"(?:^|{T.NOT_PRINTABLE}[{T.SPACE}])[^{T.SPACE}]{{{LONG_TOKEN}}}")
+    return (line != "") & (line.startswith(" ") | line.startswith("\t") | symbols | long)
 
 
 def _starts(pattern: str) -> set[str]:
@@ -83,13 +86,40 @@ def _phrase(pattern: str) -> str:
     return _words(pattern, f"(?!{W})")
 
 
+def _forked(words: list[str], cased: dict[str, str] | None = None) -> str:
+    """Patterns as one that tries letters they begin with alike once, as classes of ``cased``; what follows letters and spaces in a pattern is left as it is."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1] if w[:1].islower() or w[:1] == " " else "", []).append(w)
+    whole = by.pop("", [])
+    return f"(?:{'|'.join([(cased or {}).get(c, c) + _forked([w[1:] for w in rest], cased) for c, rest in by.items()] + whole)})"
+
+
 def _may_hold(line: Column, phrases: tuple[tuple[str, str], ...]) -> Column:
     """False only where no phrase matches: where the line in lower case has none that follows no letter of ASCII, nor a letter beyond ASCII that equals one of ASCII without case."""
-    first = "".join(sorted(set().union(*[_starts(p) for p, _ in phrases])))
-    found = F.lower(line).rlike(f"(?=[{first}])(?<![a-z])(?:{'|'.join(p for p, _ in phrases)})")
+    optional = "(?:please )?"
+    found = _forked([w for p, _ in phrases for w in ([optional[3:-2] + p[len(optional) :], p[len(optional) :]] if p.startswith(optional) else [p])])
+    letters = string.ascii_lowercase
+    found = F.lower(line).rlike(f"^[^{letters}]*(?:(?!{found})[{letters}]+[^{letters}]*)*+{found}")
     return reduce(lambda a, b: a | b, [line.contains(c) for c in ODD_LETTERS], found)
 
 
+def _without(line: Column, *steps: tuple[str, str]) -> Column:
+    """Whole words of any case that what is named with them follows are dropped, with the white space behind them.
+
+    Neither what precedes a word nor what follows it changes for others by its going, so one pass does for all steps. Each
+    match holds the words that stay, up to the next to go or the end, so that only where a word begins is one looked for.
+    """
+    odd = {"s": ODD_LETTERS[0], "k": ODD_LETTERS[1], "i": ODD_LETTERS[2:]}
+    cased = {c: f"[{c}{c.upper()}{odd.get(c, '')}]" for c in string.ascii_lowercase}
+    gone = _forked([f"{w}(?![{ASCII_W}]){after}" for words, after in steps for w in words.split("|")], cased)
+    beyond = "(?=[^\\x00-\\x7F])"
+    between = "".join(f"\\x{i:02x}" for i in range(128) if chr(i) not in ASCII_W)
+    # A word of ASCII and what is between it and the next; those beyond ASCII are slow to look up.
+    kept = f"(?!{gone})[{ASCII_W}]*[{between}]+|[{between}]+|{beyond}[^{W[1:-1]}]|(?!{gone})(?:[{ASCII_W}]+|{beyond}{W})++"
+    return F.regexp_replace(line, f"((?:{kept})*+)(?:{gone} *(?:{T.NOT_PRINTABLE}[{T.SPACE}]+)?|\\z)", "$1")
+
+
 def _replaced(line: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda s, step: F.regexp_replace(s, *step), steps, line)
 
@@ -98,17 +128,15 @@ def tightened(line: Column, level: int) -> Column:
     """A line of prose at level 2, 3 or 4, before its first letter is raised."""
     phrases = (HEDGES if level >= 2 else ()) + FILLER
     # A line that no phrase matches stays as it is through all of these steps.
-    whole = let(_replaced(line, [(" {2,}", " ")]), lambda s: F.when(_may_hold(s, phrases), _replaced(s, [(_phrase(p), r) for p, r in phrases])).otherwise(s))
-    steps = []
+    single = lambda s: F.when(s.contains("  "), _replaced(s, [(" {2,}", " ")])).otherwise(s)
+    whole = let(single(line), lambda s: F.when(_may_hold(s, phrases), _replaced(s, [(_phrase(p), r) for p, r in phrases])).otherwise(s))
     if level >= 3:
-        steps += [(_words(words, f"[{T.SPACE}]+"), "") for words in (ARTICLES, INTENSIFIERS)]
-    if level >= 4:
-        steps.append((_words(FUNCTION_WORDS, f"(?!{W})[{T.SPACE}]*"), ""))
-    steps.append((" {2,}", " "))
+        spaced = f"(?=[{T.SPACE}])"
+        whole = _without(whole, (ARTICLES, spaced), (INTENSIFIERS, spaced), *([(FUNCTION_WORDS, f"(?!{W})")] if level >= 4 else []))
     # As white space is slow to look for, only lines where some may be found go through what follows.
-    closed = lambda s: F.when(s.rlike("[^!-~][.,;:!?]"), _replaced(s, [(f"{T.NOT_PRINTABLE}[{T.SPACE}]+([.,;:!?])", "$1")])).otherwise(s)
+    closed = lambda s: F.when(s.rlike(f"[.,;:!?](?<={T.NOT_PRINTABLE}[{T.SPACE}].)"), _replaced(s, [(f"{T.NOT_PRINTABLE}[{T.SPACE}]+([.,;:!?])", "$1")])).otherwise(s)
     bare = lambda s: F.when(F.concat(F.substring(s, 1, 1), F.substring(s, -1, 1)).rlike("[^!-~]"), T.trim_space(s)).otherwise(s)
-    return let(let(_replaced(whole, steps), closed), bare)
+    return let(let(let(whole, single), closed), bare)
 
 
 def capitalised(line: Column) -> Column:
@@ -125,7 +153,7 @@ def compress(docs: DataFrame, level: float) -> DataFrame:
     t = F.col("text")
     if n == 0:
         return docs.select("doc_id", t.alias("compressed"), F.lit(0).cast("long").alias("protected_lines"), F.lit(0).alias("level"))
-    lines = F.transform(F.split(t, "\n", -1), lambda x: F.regexp_replace(x, "[ \\t]+\\z", ""))
+    lines = F.transform(F.split(t, "\n", -1), lambda x: F.when(x.endswith(" ") | x.endswith("\t"), F.regexp_replace(x, "[ \\t]+\\z", "")).otherwise(x))
     if n == 1:
         return docs.select("doc_id", T.squeezed_blank_lines(F.array_join(lines, "\n")).alias("compressed"), F.lit(0).cast("long").alias("protected_lines"), F.lit(n).alias("level"))
     # In steps, so that what protects a line and the chain of replacements are evaluated once a line.
