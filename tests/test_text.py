@@ -107,7 +107,7 @@ def test_ladder_beyond_ascii(spark, text, want):
     assert ladder.compress(spark.createDataFrame([(1, text)], "doc_id long, text string"), 2).first().compressed == want
 
 
-@pytest.mark.parametrize("level", [4])
+@pytest.mark.parametrize("level", [3, 4])
 def test_ladder_drops_words_in_one_pass(spark, level):
     d = spark.createDataFrame([(1, "\U0001d400the end, a very\u3000the \u0130s-of the\u2003the1 that")], "doc_id long, text string")
     passes = lambda n: ladder.compress(d, n)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(")
