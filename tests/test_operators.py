@@ -54,6 +54,20 @@ def test_rows_do_not_carry_their_text(spark, decoded):
     assert len(carried) == 1 and "before#" in carried[0] and "text#" not in carried[0]
 
 
+def test_rows_are_parsed_once(spark):
+    mixed = '{"a":1.0,"b":"x y"}\n{"a":[{"z":null,"c":"\u2028"}],"bb":12345678901234567890123}'
+    table = jsonrows.table_encoded(docs(spark, mixed, '["{a", {"a":1}]', '{"a":1}\n"{"', '{"a":1}\nnull'))
+    back = jsonrows.table_decoded(table)
+    # Encoding: the whole text, or its lines; decoding: names and cells.
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 4
+    assert by_doc(jsonrows.parsed_rows(docs(spark, mixed, '["{a", {"a":1}]', '{"a":1}\n"{"')), "row_no") == {0: 1}
+    long = "\n".join(mixed.split("\n") * 9)
+    assert by_doc(jsonrows.table_decoded(jsonrows.table_encoded(docs(spark, long))), "text")[0].split("\n")[:2] == ['{"a":1,"b":"x y"}', '{"a":[{"c":"\u2028","z":null}],"bb":12345678901234567890123}']
+    cells = {"0": True, "-12": True, '"a b"': True, "01": False, "-": False, "1x": False, "true": True}
+    told = by_doc(jsonrows.table_decoded(docs(spark, *[f'{jsonrows.COLUMNS}\t"a"\n{c}' for c in cells])), "text")
+    assert [told[i] is not None for i in range(len(cells))] == list(cells.values())
+
+
 def test_codebook_round_trip(spark):
     text = " ".join(["/usr/lib/python3/site", "/usr/lib/python3/dist", "averylongidentifier"] * 6) + " § x"
     r = codebook.applied(docs(spark, text, "short text")).orderBy("doc_id").collect()

@@ -5,6 +5,8 @@ Rows are canonical compact JSON: keys sorted, whole floats as integers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +16,41 @@ from ..functions.json import let
 # Fixed values of the results to match.
 MIN_ROWS, HEAD_ROWS, TAIL_ROWS, IMPORTANT_ROWS = 30, 10, 5, 40
 COLUMNS = "·cols·"
+#: No cell, or one that needs no parser to be seen to be JSON.
+SIMPLE = "^(?:|0|-?[1-9][0-9]{0,17}|\"[0-9A-Za-z_ ]*\")\\z"
 
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
-
-
-def rows_of(text: Column) -> Column:
-    """Canonical rows of a text that is a JSON array of two objects or more, or as many lines of objects; else null."""
+def _each(text: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of each row of a text that is a JSON array of two rows or more, or as many lines; null where it is null for any."""
     whole = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
     lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(f"^[{T.SPACE}\\uFEFF]*\\z"))
-    fit = lambda a: (F.size(a) >= 2) & F.forall(a, lambda v: F.coalesce(_is_object(v), F.lit(False)))
-    shown = lambda a: F.when(fit(a), F.transform(a, lambda v: F.to_json(v)))
+    shown = lambda a: let(F.transform(a, made), lambda b: F.when((F.size(b) >= 2) & F.forall(b, lambda x: x.isNotNull()), b))
     # A text that begins otherwise is neither.
     some = text.rlike(f"^[{T.SPACE}\\uFEFF]*[\\[{{]")
     return F.when(some, let(whole, lambda a: F.when(a.isNotNull(), shown(a)).otherwise(let(F.transform(lines, lambda x: F.try_parse_json(x)), shown))))
 
 
-def parsed_rows(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, ``more``, row_no (from 0), row, of texts that are row sets."""
+def rows_of(text: Column) -> Column:
+    """Canonical rows of a text that is a JSON array of two objects or more, or as many lines of objects; else null."""
+    return _each(text, lambda v: let(F.to_json(v), lambda x: F.when(x.startswith("{"), x)))
+
+
+def _cells_of(text: Column) -> Column:
+    """Keys and canonical values of each of the rows of ``rows_of``."""
+    cells = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    return _each(text, lambda v: F.transform(cells(v), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"))))
+
+
+def _numbered(docs: DataFrame, rows: Column, name: str, *more: Column) -> DataFrame:
     # What ``more`` takes from the text is evaluated before the rows are made, for each row would carry the text otherwise.
     held = docs.select("doc_id", "text", *more)
     # The outer form keeps the optimizer from evaluating the rows once more in a filter.
-    return held.select("doc_id", *held.columns[2:], F.posexplode_outer(rows_of(F.col("text"))).alias("row_no", "row")).where("row_no is not null")
+    return held.select("doc_id", *held.columns[2:], F.posexplode_outer(rows).alias("row_no", name)).where("row_no is not null")
+
+
+def parsed_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, ``more``, row_no (from 0), row, of texts that are row sets."""
+    return _numbered(docs, rows_of(F.col("text")), "row", *more)
 
 
 def crushed(docs: DataFrame) -> DataFrame:
@@ -61,13 +75,11 @@ def _quoted(name: Column) -> Column:
 def table_encoded(docs: DataFrame) -> DataFrame:
     """doc_id, text, rows, cols: row sets as a table of tab-separated cells under a line of column names, where that is shorter.
 
-    Each row is parsed once, before its document's rows are gathered; the work grows with the cells.
+    Each row is parsed once, to cells, before its document's rows are gathered; the work grows with the cells.
     """
-    rows = parsed_rows(docs, F.length("text").alias("before"))
-    values = F.variant_get(F.parse_json("row"), "$", "map<string,variant>")
-    cells = F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
-    sets = rows.withColumn("cells", cells).groupBy("doc_id").agg(F.max("before").alias("before"), F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("rows"))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["key"])))))
+    rows = _numbered(docs, _cells_of(F.col("text")), "cells", F.length("text").alias("before"))
+    sets = rows.groupBy("doc_id").agg(F.max("before").alias("before"), F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("rows"), F.collect_set(F.transform("cells", lambda c: c["key"])).alias("keys"))
+    names = F.array_sort(F.array_distinct(F.flatten("keys")))
 
     def table(names: Column) -> Column:
         line = lambda held: F.array_join(F.transform(names, lambda k: F.coalesce(F.element_at(held, k), F.lit(""))), "\t")
@@ -84,12 +96,12 @@ def table_decoded(tables: DataFrame) -> DataFrame:
     """doc_id, text: tables back to lines of JSON; null where the text is no table."""
     lines = F.split("text", "\n", -1)
     names = F.transform(F.split(F.regexp_replace(F.element_at(lines, 1), f"^{COLUMNS}\\t", ""), "\t", -1), lambda c: F.to_json(F.try_parse_json(c)))
-    rows = F.filter(F.slice(lines, 2, 1 << 30), lambda x: ~x.rlike(f"^[{T.SPACE}\\uFEFF]*\\z"))
+    # Each line's cells, split once.
+    rows = F.transform(F.filter(F.slice(lines, 2, 1 << 30), lambda x: ~x.rlike(f"^[{T.SPACE}\\uFEFF]*\\z")), lambda x: F.split(x, "\t", -1))
     fit = F.element_at(lines, 1).startswith(COLUMNS + "\t") & (F.size(lines) >= 2) & F.forall("names", lambda n: F.coalesce(n.startswith('"'), F.lit(False)))
-    fit = fit & F.forall("lines", lambda x: F.forall(F.split(x, "\t", -1), lambda c: (c == "") | F.try_parse_json(c).isNotNull()))
+    fit = fit & F.forall("lines", lambda x: F.forall(x, lambda c: c.rlike(SIMPLE) | F.try_parse_json(c).isNotNull()))
 
-    def row(line: Column) -> Column:
-        cells = F.split(line, "\t", -1)
+    def row(cells: Column) -> Column:
         pairs = F.zip_with("names", cells, lambda n, c: F.when(n.isNotNull() & (c != ""), F.concat(n, F.lit(":"), c)))
         return F.concat(F.lit("{"), F.array_join(F.filter(pairs, lambda p: p.isNotNull()), ","), F.lit("}"))
 

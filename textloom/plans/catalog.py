@@ -41,7 +41,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _joined(e: DataFrame, doc: Column, line: Column, sep: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
+    rows = F.sort_array(F.collect_list(F.struct("ts", "event_id", line.alias("line"))))
     # A number of partitions that is named isn't merged into fewer for being small in bytes; what follows is heavy in time.
     parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return e.withColumn("doc_id", doc).repartition(parts, "doc_id").groupBy("doc_id").agg(rows.alias("rows")).select("doc_id", F.array_join(F.transform("rows", lambda r: r["line"]), sep).alias("text"))
