@@ -221,6 +221,13 @@ def test_stages_and_estimate(spark):
     assert rec[0].crush_rows == 60 and rec[0].crush_kept == 16 and rec[1].crush_rows is None and rec[1].transform == "whitespace"
 
 
+def test_advice_makes_its_texts_once(spark):
+    d = docs(spark, "advice on one text", "and another")
+    pipeline.recommended(d)
+    assert d.select("doc_id", "text").storageLevel.useMemory
+    spark.catalog.clearCache()
+
+
 def test_risk_counts_utf16_units(spark):
     from textloom.operators import needles
 

@@ -57,7 +57,7 @@ def recommended(docs: DataFrame) -> DataFrame:
     All forms of all documents are rows of one frame, coded and measured together, and met again by document.
     Frames that several steps read are persisted, so that each is planned and evaluated once; ``clearCache`` frees them.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").persist()
     whole = _form("raw", docs).unionByName(_form("table", jsonrows.table_encoded(docs))).persist()
     slim = distilled(whole).select(F.concat(F.lit("slim_"), F.col("doc_id")).alias("doc_id"), F.col("distilled").alias("text"))
     few = jsonrows.crushed(docs).persist()
