@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,40 @@ def test_ladder_drops_words_in_one_pass(spark, level):
     assert ladder.compress(d, level).first().compressed == {3: "\U0001d400the end, \u0130s-of the1 that", 4: "\U0001d400the end, -the1"}[level]
 
 
+def test_plain_lines(spark):
+    """Only these skip what protects a line, phrases and white space before punctuation."""
+    plain = ["", "It was the best.", "a caf\u00e9, (the \"end\") isn't 1", "x" * 23 + " y", "fact sheet", "word " * 200_000 + "end"]
+    others = ["x" * 24, "  a", "a  b", "a .", "...", "a_b", "\u00e9\u00e9 a", "a\tb", "a\u00a0b", "\u2014 a", "to Note that a", "the \u017fame", "a\u3000b", "it wa\u0131ts"]
+    assert one(spark, ladder.is_plain, *plain, *others) == [True] * len(plain) + [False] * len(others)
+
+
+def _spelled(pattern):
+    m = re.search(r"\(\?:([^()]*)\)(\??)|(.)\?", pattern)
+    ways = [""] if not m else [*m[1].split("|"), *([""] if m[2] else [])] if m[1] is not None else [m[3], ""]
+    return [x for w in ways for x in _spelled(pattern[: m.start()] + w + pattern[m.end() :])] if m else [pattern]
+
+
+def test_every_phrase_has_a_part(spark):
+    phrases = [x for p, _ in ladder.HEDGES + ladder.FILLER for x in _spelled(p)]
+    assert len(phrases) > 50
+    assert [x for x in phrases if not any(f" {part}" in x for part in ladder.PARTS)] == []
+    assert min(map(len, ladder.PARTS)) >= 6
+    assert not any(one(spark, ladder.is_plain, *[f"So {x.upper()} all" for x in phrases]))
+
+
+@pytest.mark.parametrize("level", [3, 4])
+def test_ladder_plain_lines_lose_the_same_words(spark, level):
+    line = "The AN a (the end) \u00e9the th\u00e9 -the a\u00b7the _the that's \u00aban ox\u00bb really, Just rather the is-of to be. it has a"
+    # The second line is the same but for its last word, which isn't plain.
+    d = spark.createDataFrame([(1, f"{line} x\n{line} \u2014")], "doc_id long, text string")
+    x, y = ladder.compress(d, level).first().compressed.split("\n")
+    assert x[:-1] == y[:-1]
+    assert x == {
+        3: "(end) \u00e9the th\u00e9 -a\u00b7_the that's \u00abox\u00bb really, is-of to be. it has x",
+        4: "(end) \u00e9the th\u00e9 -a\u00b7_the 's \u00abox\u00bb really, -. x",
+    }[level]
+
+
 def test_protected_lines_are_counted(spark):
     d = spark.createDataFrame([(1, "plain words here\n  indented\n" + "x" * 24 + "\n#### ####")], "doc_id long, text string")
     assert ladder.compress(d, 2).first().protected_lines == 3
