@@ -228,6 +228,29 @@ def test_advice_makes_its_texts_once(spark):
     spark.catalog.clearCache()
 
 
+def test_advice_holds_no_parsed_rows_or_coded_texts(spark):
+    plan = pipeline.recommended(docs(spark, "advice on long texts", "one more"))._jdf.queryExecution().toString()
+    spark.catalog.clearCache()
+    assert "InMemoryRelation" in plan and "row_no" in plan
+    # Cells aren't gathered, and no text comes back from Python.
+    assert "cells" not in plan and "encoded" not in plan
+
+
+def test_tables_where_rows_are_parsed(spark):
+    mixed = '{"bb":1.0,"a":"x\\ty"}\n{"a":[{"z":null,"c":"\u2028"}],"bb":12345678901234567890123}'
+    d = docs(spark, "\n".join(mixed.split("\n") * 20), " \n".join(mixed.split("\n") * 3), "[" + ",".join(mixed.split("\n") * 5) + "]", '{"a":1}\n{"b":2}', '{"a":1}\n"{"', '{"a":1}\nnull', "{}\n{}", "[]", "no rows", "", None)
+    got, want = ({r.doc_id: tuple(r) for r in f(d).collect()} for f in (jsonrows.tables_of, jsonrows.table_encoded))
+    assert got == want and sorted(got) == [0, 1, 2]
+
+
+def test_sizes_without_rows():
+    both = [geometry.grid("normal"), geometry.grid("tiny")]
+    for text in ("", " ", "\n", "a" * 312, "a" * 313, "    b\n\tc \n\n\n\n\n↵→⇥", "x y\n" * 9000, "宽" * 400, "é" * 28100, *("a" * n for n in range(27980, 28100))):
+        a, b = ([(w, h) for w, h in geometry.page_sizes(geometry.laid_out(text, g), g)] for g in both)
+        tokens = lambda dims: sum(-(-w // geometry.PATCH) * -(-h // geometry.PATCH) for w, h in dims)
+        assert geometry.font_sizes(text) == (len(a), tokens(a), tokens(b)), text[:20]
+
+
 def test_risk_counts_utf16_units(spark):
     from textloom.operators import needles
 

@@ -33,6 +33,12 @@ def test_tokens(spark):
     assert one(spark, T.text_tokens, *texts) == [plain_tokens(t) for t in texts]
 
 
+def test_tokens_of_long_texts(spark):
+    n, rates = 3_200_000, {"1": 807, "q": 1501, "-": 690}
+    texts = spark.range(len(rates)).select("id", F.repeat(F.get(F.array(*map(F.lit, rates)), F.col("id").cast("int")), n).alias("x"))
+    assert [r[0] for r in texts.select("id", T.text_tokens(F.col("x")).alias("n")).orderBy("id").select("n").collect()] == [(n * w + 500) // 1000 for w in rates.values()]
+
+
 def test_masks(spark):
     got = one(spark, T.mask, "2024-01-02T03:04:05.6Z up 12:13:14", "id 123e4567-e89b-12d3-a456-426614174000 deadbeef1", "took 12ms 3.5 GiB 7µs x7 50%", "zzz", "é7 7é")
     assert got == ["<ts> up <time>", "id <uuid> <hex>", "took <n> <n> <n> x7 <n>%", "zzz", "é<n><n>é"]

@@ -74,13 +74,14 @@ def text_tokens(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
     word_like = lambda r: (F.length(r) <= LONGEST_WORD) & r.rlike("[aeiouyAEIOUY]")
     word = F.aggregate(runs, F.lit(0), lambda a, r: a + F.when(word_like(r), F.length(r)).otherwise(0))
-    n = F.length(text)
+    # In longs: the weighted sum of a text of 3 MB may be beyond an int.
+    n = F.length(text).cast("long")
     letters = n - F.length(F.regexp_replace(text, "[A-Za-z]", ""))
     digits = n - F.length(F.translate(text, "0123456789", ""))
     space = n - F.length(F.translate(text, " \t\n\r", ""))
     w = TOKEN_WEIGHTS
-    milli = word * w["word"] + (letters - word) * w["odd"] + digits * w["digit"] + space * w["space"] + (n - letters - digits - space) * w["punct"]
-    return F.floor((milli.cast("long") + 500) / 1000).cast("long")
+    milli = word.cast("long") * w["word"] + (letters - word) * w["odd"] + digits * w["digit"] + space * w["space"] + (n - letters - digits - space) * w["punct"]
+    return F.floor((milli + 500) / 1000).cast("long")
 
 
 def strip_ansi(line: Column) -> Column:

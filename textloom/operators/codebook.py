@@ -58,9 +58,14 @@ def decode(text: str, book: list[tuple[str, str]]) -> str:
     return body
 
 
-def applied(docs: DataFrame) -> DataFrame:
-    """doc_id, encoded, entries, book of each text of ``docs`` (doc_id, text). Only candidates are shuffled, then met by their text."""
+def with_candidates(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text, ``more``, ranked (rank, value, n of its candidates) of ``docs``. Only candidates are shuffled, then met by their text."""
     ranked = candidates(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("ranked"))
+    return docs.select("doc_id", "text", *more).join(ranked, "doc_id", "left")
+
+
+def applied(docs: DataFrame) -> DataFrame:
+    """doc_id, encoded, entries, book of each text of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sigil = pa.list_(pa.struct([("sigil", pa.string()), ("value", pa.string())]))
 
@@ -73,4 +78,4 @@ def applied(docs: DataFrame) -> DataFrame:
                 encoded.append(None if text is None else encode(text, book))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoded, pa.string()), pa.array([len(b) for b in books], pa.int64()), pa.array(books, sigil)], names=["doc_id", "encoded", "entries", "book"])
 
-    return docs.select("doc_id", "text").join(ranked, "doc_id", "left").select("doc_id", "text", "ranked").mapInArrow(run, f"doc_id {kind}, encoded string, entries bigint, book array<struct<sigil: string, value: string>>")
+    return with_candidates(docs).select("doc_id", "text", "ranked").mapInArrow(run, f"doc_id {kind}, encoded string, entries bigint, book array<struct<sigil: string, value: string>>")

@@ -143,20 +143,23 @@ def _minify(text: str) -> str:
     return re.sub("\n{4,}", "\n\n\n", "\n".join(x.rstrip(" \t") for x in text.split("\n")))
 
 
+def packed_lines(text: str) -> list[str]:
+    """The lines that ``NEWLINE`` joins when a text is packed into one."""
+    text = text.replace(NEWLINE, NEWLINE_TOO).replace(TAB, TAB_TOO).replace(INDENT, INDENT_TOO)
+    lines = [x.replace("\t", TAB) for x in _minify(text).split("\n")]
+    for i, x in enumerate(lines):
+        n = len(x) - len(x.lstrip(" "))
+        if MIN_INDENT <= n < len(INDENTS):
+            lines[i] = INDENT + INDENTS[n] + x[n:]
+    return lines
+
+
 def laid_out(text: str, g: Grid, reflow: bool = True, pack: bool = True) -> list[list[str]]:
     """Rows of each page."""
-    if reflow:
-        text = text.replace(NEWLINE, NEWLINE_TOO)
-        if pack:
-            text = text.replace(TAB, TAB_TOO).replace(INDENT, INDENT_TOO)
-        lines = _minify(text).split("\n")
-        if pack:
-            tabbed = [x.replace("\t", TAB) for x in lines]
-            depth = [len(x) - len(x.lstrip(" ")) for x in tabbed]
-            lines = [INDENT + INDENTS[n] + x[n:] if MIN_INDENT <= n < len(INDENTS) else x for x, n in zip(tabbed, depth, strict=True)]
-        else:
-            lines = [expand_tabs(x) for x in lines]
-        text = NEWLINE.join(lines)
+    if reflow and pack:
+        text = NEWLINE.join(packed_lines(text))
+    elif reflow:
+        text = NEWLINE.join(expand_tabs(x) for x in _minify(text.replace(NEWLINE, NEWLINE_TOO)).split("\n"))
     rows: list[str] = []
     for line in _minify(text).split("\n"):
         line = expand_tabs(line)
@@ -209,15 +212,35 @@ def walked(docs: DataFrame, font: str = "normal", reflow: bool = True, pack: boo
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pages bigint, pixels bigint, tokens bigint, dims array<struct<w: bigint, h: bigint>>")
 
 
-def walked_fonts(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with pages and tokens at both cell sizes: pages, normal, tiny."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = lambda d: sum(math.ceil(w / PATCH) * math.ceil(h / PATCH) for w, h in d)
+def _tokens(dims: list[tuple[int, int]]) -> int:
+    return sum(math.ceil(w / PATCH) * math.ceil(h / PATCH) for w, h in dims)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = [[page_sizes(laid_out(t or "", g), g) for g in (grid("normal"), grid("tiny"))] for t in batch.column("text").to_pylist()]
-            counts = [pa.array([len(a) for a, _ in dims], pa.int64()), pa.array([tokens(a) for a, _ in dims], pa.int64()), pa.array([tokens(b) for _, b in dims], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *counts], names=["doc_id", "text", "pages", "normal", "tiny"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, pages bigint, normal bigint, tiny bigint")
+def font_sizes(text: str) -> tuple[int, int, int]:
+    """Pages and tokens at the normal cell size, and tokens at the tiny one, of a text that is packed.
+
+    The rows of a narrow text follow from its length, so neither its one line nor its rows are made.
+    """
+    fonts = [grid("normal"), grid("tiny")]
+    if is_narrow(text):
+        lines = packed_lines(text)
+        n = sum(map(len, lines)) + len(lines) - 1
+        dims = [_narrow_sizes(n, g) for g in fonts]
+    else:
+        dims = [page_sizes(laid_out(text, g), g) for g in fonts]
+    return len(dims[0]), _tokens(dims[0]), _tokens(dims[1])
+
+
+def _narrow_sizes(n: int, g: Grid) -> list[tuple[int, int]]:
+    """``page_sizes`` of one line of ``n`` narrow cells."""
+    pages: list[list[int]] = []
+    held = 0
+    for at in range(0, max(n, 1), g.cols):
+        row = min(g.cols, n - at)
+        if pages and len(pages[-1]) < g.lines and held + row + 1 <= g.chars:
+            pages[-1].append(row)
+            held += row + 1
+        else:
+            pages.append([row])
+            held = row
+    return [(2 * PAD + max(*p, 1) * g.cw, 2 * PAD + len(p) * g.ch) for p in pages]

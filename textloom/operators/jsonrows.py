@@ -24,10 +24,11 @@ def _each(text: Column, made: Callable[[Column], Column]) -> Column:
     """``made`` of each row of a text that is a JSON array of two rows or more, or as many lines; null where it is null for any."""
     whole = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
     lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(f"^[{T.SPACE}\\uFEFF]*\\z"))
-    shown = lambda a: let(F.transform(a, made), lambda b: F.when((F.size(b) >= 2) & F.forall(b, lambda x: x.isNotNull()), b))
+    shown = lambda a, row: let(F.transform(a, row), lambda b: F.when((F.size(b) >= 2) & F.forall(b, lambda x: x.isNotNull()), b))
     # A text that begins otherwise is neither.
     some = text.rlike(f"^[{T.SPACE}\\uFEFF]*[\\[{{]")
-    return F.when(some, let(whole, lambda a: F.when(a.isNotNull(), shown(a)).otherwise(let(F.transform(lines, lambda x: F.try_parse_json(x)), shown))))
+    # Lines are parsed where their rows are made, so that a text's parsed lines aren't all held.
+    return F.when(some, let(whole, lambda a: F.when(a.isNotNull(), shown(a, made)).otherwise(shown(lines, lambda x: made(F.try_parse_json(x))))))
 
 
 def rows_of(text: Column) -> Column:
@@ -72,6 +73,19 @@ def _quoted(name: Column) -> Column:
     return F.substring(json, F.lit(2), F.length(json) - 2)
 
 
+def _table(rows: Column, names: Column) -> Column:
+    """text, rows, cols of the table of ``rows`` (arrays of key and value) under ``names``."""
+    line = lambda held: F.array_join(F.transform(names, lambda k: F.coalesce(F.element_at(held, k), F.lit(""))), "\t")
+    lines = F.transform(rows, lambda r: let(F.map_from_entries(r), line))
+    head = F.concat(F.lit(COLUMNS + "\t"), F.array_join(F.transform(names, lambda k: _quoted(k)), "\t"))
+    text = F.concat(head, F.lit("\n"), F.array_join(lines, "\n"))
+    return F.struct(text.alias("text"), F.size(rows).cast("long").alias("rows"), F.size(names).cast("long").alias("cols"))
+
+
+def _shorter(table: Column, before: Column) -> Column:
+    return F.filter(F.array(table), lambda t: (t["cols"] > 0) & (F.length(t["text"]) < before))
+
+
 def table_encoded(docs: DataFrame) -> DataFrame:
     """doc_id, text, rows, cols: row sets as a table of tab-separated cells under a line of column names, where that is shorter.
 
@@ -80,16 +94,19 @@ def table_encoded(docs: DataFrame) -> DataFrame:
     rows = _numbered(docs, _cells_of(F.col("text")), "cells", F.length("text").alias("before"))
     sets = rows.groupBy("doc_id").agg(F.max("before").alias("before"), F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("rows"), F.collect_set(F.transform("cells", lambda c: c["key"])).alias("keys"))
     names = F.array_sort(F.array_distinct(F.flatten("keys")))
+    made = let(names, lambda n: _table(F.transform("rows", lambda r: r["cells"]), n))
+    return sets.select("doc_id", F.explode_outer(_shorter(made, F.col("before"))).alias("t")).where("t is not null").select("doc_id", "t.text", "t.rows", "t.cols")
+
 
-    def table(names: Column) -> Column:
-        line = lambda held: F.array_join(F.transform(names, lambda k: F.coalesce(F.element_at(held, k), F.lit(""))), "\t")
-        lines = F.transform("rows", lambda r: let(F.map_from_entries(r["cells"]), line))
-        head = F.concat(F.lit(COLUMNS + "\t"), F.array_join(F.transform(names, lambda k: _quoted(k)), "\t"))
-        text = F.concat(head, F.lit("\n"), F.array_join(lines, "\n"))
-        return F.struct(text.alias("text"), F.size("rows").cast("long").alias("rows"), F.size(names).cast("long").alias("cols"))
+def tables_of(docs: DataFrame) -> DataFrame:
+    """The rows of ``table_encoded``, for long texts: cells become a table where they are parsed.
 
-    shorter = F.filter(F.array(let(names, table)), lambda t: (t["cols"] > 0) & (F.length(t["text"]) < F.col("before")))
-    return sets.select("doc_id", F.explode_outer(shorter).alias("t")).where("t is not null").select("doc_id", "t.text", "t.rows", "t.cols")
+    Gathered as rows they are copied several times, and each copy is many times as large as the text.
+    """
+    names = lambda rows: F.array_sort(F.array_distinct(F.flatten(F.transform(rows, lambda r: F.transform(r, lambda c: c["key"])))))
+    made = let(_cells_of(F.col("text")), lambda rows: F.when(rows.isNotNull(), let(names(rows), lambda n: _table(rows, n))))
+    # The outer form keeps the optimizer from making the tables once more in a filter.
+    return docs.select("doc_id", F.explode_outer(_shorter(made, F.length("text"))).alias("t")).where("t is not null").select("doc_id", "t.text", "t.rows", "t.cols")
 
 
 def table_decoded(tables: DataFrame) -> DataFrame:

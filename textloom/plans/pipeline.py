@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +55,46 @@ def _form(base: str, docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit(base + SEP), F.col("doc_id").cast("string")).alias("doc_id"), "text")
 
 
+def _measured(forms: DataFrame) -> DataFrame:
+    """doc_id, text_tokens, with_book, pages, normal, tiny of each text of ``forms`` as it is (0) and, where it has one, under its codebook (1).
+
+    Each text is coded and measured where it is, one after the other; neither it nor its coded form comes back.
+    """
+    schema = "doc_id string, text_tokens bigint, with_book int, pages bigint, normal bigint, tiny bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for id, text, tokens, ranked in zip(*(batch.column(c) for c in ("doc_id", "text", "text_tokens", "ranked")), strict=True):
+                plain = text.as_py() or ""
+                out.append((id.as_py(), tokens.as_py(), 0, *geometry.font_sizes(plain)))
+                if book := codebook.choose([(r["value"], r["n"]) for r in ranked.as_py() or ()], plain):
+                    out.append((id.as_py(), tokens.as_py(), 1, *geometry.font_sizes(codebook.encode(plain, book))))
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc_id", "text_tokens", "with_book", "pages", "normal", "tiny"])
+
+    told = forms.withColumn("text_tokens", T.text_tokens(F.col("text")))
+    return codebook.with_candidates(told, "text_tokens").select("doc_id", "text", "text_tokens", "ranked").mapInArrow(run, schema)
+
+
 def recommended(docs: DataFrame) -> DataFrame:
     """One row a document: the cheapest reversible page form, its tiny price, the distilled form, the plain text route and the thinned-out row set.
 
     All forms of all documents are rows of one frame, coded and measured together, and met again by document.
     Frames that several steps read are persisted, so that each is planned and evaluated once; ``clearCache`` frees them.
+    Those of all forms, several times as large as the texts, are kept on disk, to leave memory to long texts.
     """
     docs = docs.select("doc_id", "text").persist()
-    whole = _form("raw", docs).unionByName(_form("table", jsonrows.table_encoded(docs))).persist()
+    whole = _form("raw", docs).unionByName(_form("table", jsonrows.tables_of(docs))).persist(StorageLevel.DISK_ONLY)
     slim = distilled(whole).select(F.concat(F.lit("slim_"), F.col("doc_id")).alias("doc_id"), F.col("distilled").alias("text"))
     few = jsonrows.crushed(docs).persist()
-    forms = whole.unionByName(slim).unionByName(_form("crush", few)).unionByName(_form("crush_table", jsonrows.table_encoded(few.select("doc_id", "text")))).persist()
-    coded = codebook.applied(forms).select("doc_id", "encoded", "entries")
-    forms = forms.join(coded, "doc_id").select("doc_id", "entries", F.explode(F.array(F.struct(F.lit(0).alias("with_book"), F.col("text").alias("text")), F.struct(F.lit(1).alias("with_book"), F.col("encoded").alias("text")))).alias("f"))
-    forms = forms.where("f.with_book = 0 or entries > 0").select(F.concat(F.col("f.with_book").cast("string"), F.lit(SEP), F.col("doc_id")).alias("doc_id"), F.col("f.text").alias("text"))
+    forms = whole.unionByName(slim).unionByName(_form("crush", few)).unionByName(_form("crush_table", jsonrows.tables_of(few.select("doc_id", "text")))).persist(StorageLevel.DISK_ONLY)
     name = F.split("doc_id", SEP)
-    sizes = geometry.walked_fonts(forms).withColumns({"text_tokens": T.text_tokens(F.col("text")), "with_book": name[0].cast("int"), "base": name[1], "id": name[2].cast(docs.schema["doc_id"].dataType)})
+    sizes = _measured(forms).withColumns({"base": name[0], "id": name[1].cast(docs.schema["doc_id"].dataType)})
     # Of the plain and the coded form the cheaper one, the plain one among equals.
     best = sizes.groupBy("base", "id").agg(
         F.min(F.struct(F.col("normal").alias("tokens"), "with_book", F.col("pages").alias("pages"), F.col("tiny").alias("tiny"))).alias("w"),
-        F.max(F.when(F.col("with_book") == 0, F.col("text_tokens"))).alias("text_tokens"),
+        F.max("text_tokens").alias("text_tokens"),
     )
     bases = ("raw", "table", "slim_raw", "slim_table", "crush", "crush_table")
     rows = best.groupBy(F.col("id").alias("doc_id")).agg(*[F.max(F.when(F.col("base") == b, F.struct("w", "text_tokens"))).alias(b) for b in bases])
